@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 ENDS = (".", "!", "?", ":", '"', "”", "…")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_upper", "n_alpha_words", "n_distinct", "n_ended")
+MORE = ("n_lines", "n_upper", "n_distinct", "n_ended", "n_exclaimed")
 GOOD, NONE, BAD = 1, 0, -1
 
 
@@ -53,9 +53,8 @@ def counts(text: str | None) -> tuple[int, ...]:
                     covered = i + 3
     distinct = set(words)
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    alpha = sum(w.translate(None, b"0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") != b"" for w in distinct)
     ended = sum(x.rstrip().decode("utf-8", "replace").endswith(ENDS) for x in lines)
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, alpha, len(distinct), ended
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, len(distinct), ended, text.count("!")
 
 
 @dataclass(frozen=True)
@@ -66,23 +65,24 @@ class Rule:
     vote: Callable[[dict], int]
 
 
-def _between(x: float, bad: float, good: float) -> int:
-    """BAD from `bad` upwards, GOOD up to `good`, none between."""
-    return BAD if x >= bad else GOOD if x <= good else NONE
+def _flag(x: float, bad: float) -> int:
+    return BAD if x >= bad else NONE
 
 
 def default_rules() -> list[Rule]:
-    """Rules on length, symbols, capitals, repetition and shape; each abstains where its count tells little."""
+    """Six flags, which vote bad or abstain, on symbols, capitals, exclamation, repetition and variety; three rules on
+    length and shape, which can vote either way."""
+    per_word = lambda c, name: c[name] / max(c["n_words"], 1)
     return [
+        Rule("symbols", lambda c: _flag(per_word(c, "n_symbols"), 0.1)),
+        Rule("capitals", lambda c: _flag(c["n_upper"] / max(c["word_chars"], 1), 0.3)),
+        Rule("exclamation", lambda c: _flag(per_word(c, "n_exclaimed"), 0.3)),
+        Rule("repeated_words", lambda c: _flag(per_word(c, "n_repeat_words"), 0.3)),
+        Rule("repeated_lines", lambda c: _flag(c["n_dup_lines"] / max(c["n_lines"], 1), 0.5)),
+        Rule("variety", lambda c: _flag(-c["n_distinct"] / max(c["n_words"], 50) ** 0.75, -0.6)),
         Rule("length", lambda c: BAD if c["n_words"] < 20 else GOOD if c["n_words"] >= 80 else NONE),
-        Rule("word_length", lambda c: _between(abs(c["word_chars"] / max(c["n_words"], 1) - 5.5), 3.5, 2.0)),
-        Rule("symbols", lambda c: _between(c["n_symbols"] / max(c["n_words"], 1), 0.1, 0.01)),
-        Rule("capitals", lambda c: _between(c["n_upper"] / max(c["word_chars"], 1), 0.3, 0.08)),
-        Rule("repeated_words", lambda c: _between(c["n_repeat_words"] / max(c["n_words"], 1), 0.3, 0.05)),
-        Rule("repeated_lines", lambda c: _between(c["n_dup_lines"] / max(c["n_lines"], 1), 0.3, 0.05)),
-        Rule("variety", lambda c: NONE if c["n_words"] < 50 else _between(-c["n_distinct"] / c["n_words"] ** 0.75, -1.0, -1.6)),
-        Rule("letters", lambda c: _between(1 - c["n_alpha_words"] / max(c["n_distinct"], 1), 0.2, 0.05)),
-        Rule("ended_lines", lambda c: _between(1 - c["n_ended"] / max(c["n_lines"], 1), 0.7, 0.3)),
+        Rule("word_length", lambda c: GOOD if 3.0 <= per_word(c, "word_chars") <= 8.0 else BAD if per_word(c, "word_chars") > 15 else NONE),
+        Rule("ended_lines", lambda c: GOOD if 2 * c["n_ended"] >= c["n_lines"] > 0 else BAD if not c["n_ended"] else NONE),
     ]
 
 
@@ -113,45 +113,52 @@ def votes(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id",
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good documents. good, bad: for each rule the probabilities of voting bad, not at all and good."""
+    """prior: share of good documents. right: for each rule, how often a bad and a good vote of it are right."""
 
     prior: float
-    good: np.ndarray
-    bad: np.ndarray
+    right: np.ndarray
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
-        at = _indices(patterns)
-        k = np.arange(at.shape[1])
-        x = np.log(self.prior) + np.log(self.good[k, at]).sum(1) - np.log1p(-self.prior) - np.log(self.bad[k, at]).sum(1)
-        return 1 / (1 + np.exp(-x))
+        """By Bayes: each vote moves the odds from the prior by what its accuracy says; who abstains says nothing."""
+        bad, good = _cast(patterns)
+        odds = np.log(self.prior) - np.log1p(-self.prior)
+        by_good = np.log(self.right[:, 1]) - np.log1p(-self.right[:, 1]) - odds
+        by_bad = np.log1p(-self.right[:, 0]) - np.log(self.right[:, 0]) - odds
+        x = odds + good @ by_good + bad @ by_bad
+        return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def _indices(patterns: list[str]) -> np.ndarray:
-    return np.array([["b-g".index(x) for x in p] for p in patterns], int).reshape(len(patterns), -1)
+def _cast(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices of 0 and 1, a row for each combination and a column for each rule: votes bad, votes good."""
+    at = np.array([list(p) for p in patterns], "U1").reshape(len(patterns), -1)
+    return (at == "b").astype(float), (at == "g").astype(float)
 
 
-def fit(histogram: dict[str, int], rounds: int = 200, smooth: float = 1.0) -> Model:
+def fit(histogram: dict[str, int], rounds: int = 200, believed: float = 0.97, trust: float = 1.0) -> Model:
     """EM over vote combinations and their numbers of documents.
 
-    It starts from the majority of votes, with bad votes counted twice as they are rarer, and a rule's accuracy is kept
-    better than chance by a Beta-like prior of `smooth` documents, so that the two classes can't swap.
+    A rule that votes alone on its documents has no one to agree or disagree with, so its accuracy can't be told from
+    votes: a bad vote's is drawn towards `believed` and a good vote's towards the share of good documents, which says
+    nothing, as if that were seen on `trust` times the documents it votes on. The weight is relative, so the estimate is
+    the same however often the corpus is repeated.
     """
     patterns = sorted(histogram)
-    at, n = _indices(patterns), np.array([histogram[p] for p in patterns], float)
-    rules = at.shape[1]
-    hot = np.eye(3)[at]
-    p = 1 / (1 + np.exp(-((at == 2).sum(1) - 2.0 * (at == 0).sum(1))))
-    like_good, like_bad = np.array([0.1, 0.3, 0.6]), np.array([0.6, 0.3, 0.1])
+    bad, good = _cast(patterns)
+    n = np.array([histogram[p] for p in patterns], float)
+    prior, p = 0.8, None
+    right = np.tile(np.array([believed, prior]), (bad.shape[1], 1))
     for _ in range(rounds):
-        good = (hot * (n * p)[:, None, None]).sum(0) + smooth * like_good
-        bad = (hot * (n * (1 - p))[:, None, None]).sum(0) + smooth * like_bad
-        model = Model(float(np.clip((n @ p + 1) / (n.sum() + 2), 1e-6, 1 - 1e-6)), good / good.sum(1, keepdims=True), bad / bad.sum(1, keepdims=True))
-        now = model.posterior(patterns)
-        if np.abs(now - p).max() < 1e-9:
+        now = Model(prior, right).posterior(patterns)
+        if p is not None and np.abs(now - p).max() < 1e-9:
             break
         p = now
-    assert rules == good.shape[0]
-    return model
+        prior = float(np.clip(n @ p / max(n.sum(), 1), 0.5, 0.99))
+        for k, (cast, truth, belief) in enumerate(((bad, 1 - p, believed), (good, p, prior))):
+            times = n @ cast
+            right[:, k] = np.clip(((n * truth) @ cast + trust * times * belief) / np.maximum((1 + trust) * times, 1e-9), 0.05, 0.999)
+            right[times == 0, k] = belief
+        right[:, 1] = np.maximum(right[:, 1], prior)  # a good vote never counts against a document
+    return Model(prior, right)
 
 
 def judged(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
