@@ -82,7 +82,7 @@ def default_rules() -> list[Rule]:
         Rule("variety", lambda c: _flag(-c["n_distinct"] / max(c["n_words"], 50) ** 0.75, -0.6)),
         Rule("length", lambda c: BAD if c["n_words"] < 20 else GOOD if c["n_words"] >= 80 else NONE),
         Rule("word_length", lambda c: GOOD if 3.0 <= per_word(c, "word_chars") <= 8.0 else BAD if per_word(c, "word_chars") > 15 else NONE),
-        Rule("ended_lines", lambda c: GOOD if 2 * c["n_ended"] >= c["n_lines"] > 0 else BAD if not c["n_ended"] else NONE),
+        Rule("ended_lines", lambda c: GOOD if 2 * c["n_ended"] >= c["n_lines"] > 0 else BAD if not c["n_ended"] and c["n_lines"] >= 5 else NONE),
     ]
 
 
@@ -134,25 +134,25 @@ def _cast(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (at == "b").astype(float), (at == "g").astype(float)
 
 
-def fit(histogram: dict[str, int], rounds: int = 200, believed: float = 0.97, trust: float = 1.0) -> Model:
+def fit(histogram: dict[str, int], rounds: int = 200, believed: float = 0.97, share: float = 0.9, trust: float = 1.0) -> Model:
     """EM over vote combinations and their numbers of documents.
 
     A rule that votes alone on its documents has no one to agree or disagree with, so its accuracy can't be told from
     votes: a bad vote's is drawn towards `believed` and a good vote's towards the share of good documents, which says
-    nothing, as if that were seen on `trust` times the documents it votes on. The weight is relative, so the estimate is
+    nothing, and the share of good documents itself towards `share`, as if that were seen on `trust` times the documents it votes on. The weight is relative, so the estimate is
     the same however often the corpus is repeated.
     """
     patterns = sorted(histogram)
     bad, good = _cast(patterns)
     n = np.array([histogram[p] for p in patterns], float)
-    prior, p = 0.8, None
+    prior, p = share, None
     right = np.tile(np.array([believed, prior]), (bad.shape[1], 1))
     for _ in range(rounds):
         now = Model(prior, right).posterior(patterns)
         if p is not None and np.abs(now - p).max() < 1e-9:
             break
         p = now
-        prior = float(np.clip(n @ p / max(n.sum(), 1), 0.5, 0.99))
+        prior = float(np.clip((n @ p / max(n.sum(), 1) + trust * share) / (1 + trust), 1e-6, 1 - 1e-6))
         for k, (cast, truth, belief) in enumerate(((bad, 1 - p, believed), (good, p, prior))):
             times = n @ cast
             right[:, k] = np.clip(((n * truth) @ cast + trust * times * belief) / np.maximum((1 + trust) * times, 1e-9), 0.05, 0.999)
