@@ -82,3 +82,32 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Catalyst may copy a projected expression into each use, lambdas included; it doesn't copy one through a generator.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Rows of a key table that are broadcast at most: about 40 MB. Beyond it, joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table that is already materialised has at most so many rows; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def joined(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """df joined with a materialised key table on columns that may be null (null equals null).
+
+    The key table is broadcast if a count finds it small, so that df stays where it is; else both sides are shuffled,
+    and Spark splits the tasks of hot keys.
+    """
+    right = keys.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    match = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        match = same if match is None else match & same
+    out = df.join(F.broadcast(right) if small(keys) else right, match, how)
+    return out.drop(*[f"_r_{c}" for c in on]) if how in ("inner", "left") else out
+
+
+def words(text: Column) -> Column:
+    """Runs of anything but ASCII white space, as an array."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")

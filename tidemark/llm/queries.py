@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, shards, urls
+from . import bpe, decontaminate, hilbert, quality, shards, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,43 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = urls.rules_from(block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert.shard(read(spark, sf_dir, "documents"), ["lang", "source", "n_chars"], 8)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP5_SQL = r"""
+with doc_words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+item_words as (
+  select cast(item_id as varchar) as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+item_windows as (
+  select distinct item, least(len(w), 10) as n, list_slice(w, i, i + least(len(w), 10) - 1) as win
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item_words where len(w) > 0)),
+sizes as (select distinct n from item_windows),
+doc_windows as (
+  select doc_id, n, i, list_slice(w, i, i + n - 1) as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc_words, sizes where len(w) >= n)),
+met as (select d.doc_id, d.n, d.i, t.item from doc_windows as d join item_windows as t on d.n = t.n and d.win = t.win),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from met) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from met) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit, cast(coalesce(s.n_items, 0) as bigint) as n_items,
+       sha256(coalesce(s.items, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
+from doc_words as d left join hit as h using (doc_id) left join its as s using (doc_id)
+"""
+
 OP6_SQL = """
 with parts as (
   select page_id,
@@ -61,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op5_winnowing": OP5_SQL, "op6_url_filter": OP6_SQL}
