@@ -251,10 +251,10 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return map_rows(tokens, [key, ids], make, f"`{key}` {kind}, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of each whole text: encoded, then decoded from the ids, in one pass.
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256 of each whole text (and its ids): encoded, then decoded from the ids.
 
-    Ids leave the worker only as digests, so nothing wider than a row of four values is shuffled or written.
+    One map over the rows. Without the ids, they leave the worker only as digests.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -262,15 +262,17 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         bpe, pieces = encoder(path, pattern)
 
         def run(keys, texts):
-            counts, shas, decoded = [], [], []
+            counts, shas, decoded, every = [], [], [], []
             for t in texts:
                 parts = pieces(t or "")
                 ids = [i for part, _ in parts for i in part]
                 counts.append(len(ids))
                 shas.append(hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            return keys, counts, shas, decoded
+                every.append(ids if with_ids else None)
+            return (keys, counts, shas, decoded, every) if with_ids else (keys, counts, shas, decoded)
 
         return run
 
-    return map_rows(docs, [key, text], make, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_rows(docs, [key, text], make, schema + ", ids array<int>" * with_ids)
