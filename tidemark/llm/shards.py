@@ -15,8 +15,10 @@ from __future__ import annotations
 import io
 import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -134,10 +136,11 @@ class ShardWriter:
         self._files, self._path, self._part = files, path, f"{path}.{uuid.uuid4().hex}.part"
         self._out = files.open_output_stream(self._part, buffer_size=1 << 20)
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
+    def add(self, key: int | None, ids: bytes) -> None:
+        """ids: already as they are stored, little-endian and of the shard's width."""
         self.keys.append(key)
-        self.lengths.append(len(ids))
-        self._out.write(ids.astype(self.type).tobytes())
+        self.lengths.append(len(ids) // self.type.itemsize)
+        self._out.write(ids)
 
     def close(self) -> dict:
         self._out.close()
@@ -189,31 +192,42 @@ def _open(uri: str) -> Shard:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer and two generations of remembered words, kept for as long as the worker lives."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return t, {}
+    return t, [{}, {}]
 
 
-def text_encoder(path: str, memory: int = 300_000):
+def text_encoder(path: str, memory: int = 1_000_000):
     """texts -> list of two- or four-byte id strings, by the tokenizers library.
 
     The tokenizer of `path` drops white space between words and merges only within them, and no step before looks
-    across a space or a line break, so a text's ids are those of its words, and a word need be encoded only once.
+    across a space or a line break, so a text's ids are those of its words, and a word need be encoded only once. At
+    most `memory` words are remembered, some 200 bytes each; those not asked for again are forgotten first.
     """
-    tokenizer, known = _tokenizer(path)
-    kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+    tokenizer, generations = _tokenizer(path)
+    letter = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+    kind = np.dtype("<u2" if letter == "H" else "<u4")
 
     def run(texts: list[str | None]) -> list[bytes]:
-        if len(known) > memory:
-            known.clear()
+        if len(generations[0]) > memory // 2:
+            generations[:] = [{}, generations[0]]
+        known, older = generations
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws} - known.keys())
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False) if new else [], strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        rows = [list(map(known.get, ws)) for ws in words]
+        asked = {w for ws, row in zip(words, rows, strict=True) if None in row for w, x in zip(ws, row, strict=True) if x is None}
+        new = []
+        for w in asked:
+            if (x := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = x
+        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
+            known[w] = array(letter, e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, kind).tobytes()
+        return [b"".join([known[w] for w in ws] if None in row else row) for ws, row in zip(words, rows, strict=True)]
 
     return run, kind
 
@@ -239,11 +253,11 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, shards
             if writer is None:
                 run, kind = text_encoder(tokenizer)
                 writer = ShardWriter(f"{out}/shard-{shard:06d}", kind.itemsize)
-                end = np.array([end_id], kind)
+                end = np.array([end_id], kind).tobytes()
             for at in range(0, batch.num_rows, 512):
                 keys, texts = (batch.slice(at, 512).column(i).to_pylist() for i in (0, 1))
                 for k, ids in zip(keys, run(texts), strict=True):
-                    writer.add(k, np.concatenate([np.frombuffer(ids, kind), end]))
+                    writer.add(k, ids + end)
         if writer is not None:
             x = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), **{c: pa.array([x[c]], pa.int64()) for c in ("docs", "nulls", "ids", "least", "most")}})
