@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hilbert, linededup, neardup, quality, shards, urls
+from . import bpe, decontaminate, hilbert, linededup, linequality, neardup, pii, quality, shards, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A fixed key, so that runs can be compared; a real one belongs in a secret store.
+DEMO_KEY = b"tidemark demonstration key"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(read(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = shards.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -41,6 +49,14 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = linequality.fit(docs, labels.filter(remainder != 2))
+    out = linequality.scored(docs, model)
+    return out.select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicated(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
