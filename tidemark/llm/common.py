@@ -108,6 +108,11 @@ def joined(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame
     return out.drop(*[f"_r_{c}" for c in on]) if how in ("inner", "left") else out
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """_row, all of df's columns in a struct, beside new columns, whose names then can't clash with df's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in more.items()])
+
+
 def words(text: Column) -> Column:
     """Runs of anything but ASCII white space, as an array."""
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, lowered, materialise, once, small
+from .common import joined, lowered, materialise, once, packed, small
 
 K, W = 5, 6
 N = K + W - 1
@@ -136,5 +136,5 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """docs without the rows that share a window with an item, all columns as they are."""
     found = materialise(hits(docs, items, key, text, item).filter(F.size("_spans") > 0).select(F.col("_key"), F.col("_hash")))
-    marked = docs.select("*", F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
-    return joined(marked, found, ["_key", "_hash"], "left_anti").drop("_key", "_hash")
+    rows = packed(docs, _key=F.col(key), _hash=F.xxhash64(text))
+    return joined(rows, found, ["_key", "_hash"], "left_anti").select("_row.*")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, lowered, materialise, once, stored, words
+from .common import joined, lowered, materialise, once, packed, stored, words
 
 ORDER = ("_key", "_hash", "_pos")
 
@@ -91,21 +91,29 @@ def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     return materialise(pairs.filter(right).select("_line").distinct())
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 3, near_words: int = 10) -> DataFrame:
-    """docs with the text's kept lines, and _n_lines and _n_dropped. Texts stay where they are while the drop lists are small."""
+def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, near_words: int) -> DataFrame:
+    """_row (docs' columns), _text (its kept lines), _n_lines, _n_dropped. Texts stay where they are while the drop lists
+    are small."""
     gone = dropped(docs, key, text, min_words, near_words)
-    rows = docs.select("*", F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
-    rows = joined(rows, gone, ["_key", "_hash"], "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    rows = joined(packed(docs, _key=F.col(key), _hash=F.xxhash64(text), _text=F.col(text)), gone, ["_key", "_hash"], "left")
+    lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    n = F.size(lines)
-    return rows.withColumns({"_n_lines": n, "_n_dropped": F.coalesce(F.size("_drop"), F.lit(0)), text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept)}).drop("_key", "_hash", "_drop")
+    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept)
+    return rows.select("_row", kept.alias("_text"), F.size(lines).alias("_n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("_n_dropped"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 3, near_words: int = 10) -> DataFrame:
+    """docs with the text's kept lines, and n_lines and n_dropped in the place of columns so named."""
+    out = _cleaned(docs, key, text, min_words, near_words)
+    old = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*old, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", min_words: int = 3, near_words: int = 10) -> DataFrame:
     """docs without their repeated lines, columns as they were (chars recounted); documents left without a word go."""
-    out = deduplicated(docs, key, text)
-    out = out.filter((F.col("_n_dropped") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = _cleaned(docs, key, text, min_words, near_words)
+    out = out.filter((F.col("_n_dropped") == 0) | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    fresh = {text: F.col("_text")}
     if chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.col("_n_dropped") == 0, F.col(chars)).otherwise(F.char_length(text).cast(docs.schema[chars].dataType)))
-    return out.select(*docs.columns)
+        fresh[chars] = F.when(F.col("_n_dropped") == 0, F.col(f"_row.`{chars}`")).otherwise(F.char_length("_text").cast(docs.schema[chars].dataType))
+    return out.select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

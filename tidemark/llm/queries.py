@@ -58,8 +58,7 @@ def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.deduplicated(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return linededup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
