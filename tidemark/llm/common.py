@@ -84,27 +84,29 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-#: Rows of a key table that are broadcast at most: about 40 MB. Beyond it, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows, and elements or characters in rows of varying size, of a key table that are broadcast at most: some 50 MB.
+#: Beyond either, joins shuffle.
+BROADCAST_ROWS, BROADCAST_WEIGHT = 500_000, 5_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table that is already materialised has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
+    """Whether a materialised table has at most so many rows, and those a total weight within BROADCAST_WEIGHT."""
+    r = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(weight if weight is not None else F.lit(0)).alias("w")).first()
+    return r["n"] <= rows and (r["w"] or 0) <= BROADCAST_WEIGHT
 
 
-def joined(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+def joined(df: DataFrame, keys: DataFrame, on: list[str], how: str, weight: Column | None = None) -> DataFrame:
     """df joined with a materialised key table on columns that may be null (null equals null).
 
     The key table is broadcast if a count finds it small, so that df stays where it is; else both sides are shuffled,
-    and Spark splits the tasks of hot keys.
+    and Spark splits the tasks of hot keys. weight: of a row of keys, where rows hold arrays.
     """
     right = keys.withColumnsRenamed({c: f"_r_{c}" for c in on})
     match = None
     for c in on:
         same = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
         match = same if match is None else match & same
-    out = df.join(F.broadcast(right) if small(keys) else right, match, how)
+    out = df.join(F.broadcast(right) if small(keys, weight=weight) else right, match, how)
     return out.drop(*[f"_r_{c}" for c in on]) if how in ("inner", "left") else out
 
 

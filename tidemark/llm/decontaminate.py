@@ -20,8 +20,9 @@ from .common import joined, lowered, materialise, once, packed, small
 
 K, W = 5, 6
 N = K + W - 1
-#: Rows of the benchmark's fingerprints that are broadcast at most; a row holds at most 2 N words.
-MOST_BROADCAST = 100_000
+#: Rows of the benchmark's fingerprints that are broadcast at most; a row holds at most 2 N words, and their characters are
+#: counted as well (common.BROADCAST_WEIGHT).
+MOST_BROADCAST = 50_000
 
 
 def item_words(text: Column) -> Column:
@@ -88,7 +89,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         return spread.select(*keep, "_s", F.col("_s").alias("_at"), F.xxhash64(F.slice("_w", F.col("_s") + 1, F.lit(n))).alias("_h"))
 
     whole = prints.filter(F.col("_n") == N).drop("_n").withColumnRenamed("_h", "_ph")
-    if small(prints, most_broadcast):
+    if small(prints, most_broadcast, F.char_length(F.array_join("_near", ""))):
         met = _windows(rows, [*of, "_words"], none=True).join(F.broadcast(whole), F.col("_h") == F.col("_ph"), "left")
         met = met.filter((F.col("_s") < 0) | (F.col("_item").isNotNull() & _equal(F.lit(N))))
         found = met.select(*of, (F.col("_s") < 0).cast("bigint").alias("_row"), F.lit(N).alias("_n"), "_s", "_item")

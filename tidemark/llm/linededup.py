@@ -64,7 +64,7 @@ def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     able = materialise(joined(keyed, shared, ["_half"], "left_semi").select("_line", "_first").distinct())
     # their words, from the documents where they come first
     places = materialise(able.groupBy("_first._key", "_first._hash").agg(F.collect_set("_first._pos").alias("_at")))
-    held = joined(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_t")), places, ["_key", "_hash"], "inner")
+    held = joined(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_t")), places, ["_key", "_hash"], "inner", F.size("_at"))
     held = held.select("_key", "_hash", "_at", F.posexplode(F.split(F.coalesce(F.col("_t"), F.lit("")), "\n", -1)).alias("_pos", "_l")).filter(F.array_contains("_at", F.col("_pos")))
     held = once(held.select(*ORDER, "_l"), "_w", F.transform(words(lowered(F.col("_l"))), lambda x: F.xxhash64(x)))
     held = stored(held.select(F.xxhash64("_w").alias("_line"), F.struct(*ORDER).alias("_o"), "_w").dropDuplicates(["_line"]), "near-lines")
@@ -95,7 +95,7 @@ def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, near_words: i
     """_row (docs' columns), _text (its kept lines), _n_lines, _n_dropped. Texts stay where they are while the drop lists
     are small."""
     gone = dropped(docs, key, text, min_words, near_words)
-    rows = joined(packed(docs, _key=F.col(key), _hash=F.xxhash64(text), _text=F.col(text)), gone, ["_key", "_hash"], "left")
+    rows = joined(packed(docs, _key=F.col(key), _hash=F.xxhash64(text), _text=F.col(text)), gone, ["_key", "_hash"], "left", F.size("_drop"))
     lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
     kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept)
