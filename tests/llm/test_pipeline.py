@@ -41,8 +41,8 @@ def test_pipeline(spark):
     firsts = {i: lined[i] for i in ids if root[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     clean = {x[0] for x in slow_contamination(list(firsts.items()), items) if not x[2]}
-    _, pieces = bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    want = {i: [t for part, _ in pieces(firsts[i]) for t in part] for i in clean}
+    _, ids_of = bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = {i: ids_of(firsts[i]) for i in clean}
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, D).collect()}
     assert got == want and 0 < len(got) < len(rows)
     frame = docs

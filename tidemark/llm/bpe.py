@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import regex
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: Pieces that a worker remembers before it forgets them all; some 300 bytes each.
-REMEMBERED = 600_000
+#: Pieces and pairs of tokens that a worker remembers at most; some 200 and 130 bytes each.
+REMEMBERED, PAIRS = 400_000, 300_000
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -34,6 +35,8 @@ class Bpe:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._pairs: dict[int, bool] = {}
         self._edges: dict[int, tuple] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._alone: dict[int, bool] = {}
         #: The lengths of the tokens that end in the same three bytes, longest first; shorter tokens end everything.
         ends: dict[bytes, set[int]] = {}
@@ -101,7 +104,7 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > PAIRS:
             self._pairs.clear()
         self._pairs[before << 32 | token] = ok
         return ok
@@ -135,6 +138,25 @@ class Bpe:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk(self.extend(piece, []))
 
+    def encode(self, text: str, split) -> list[int]:
+        """The ids of a text's pieces as split gives them.
+
+        Pieces are remembered, packed, in two generations: when the young one is full it becomes the old one, and what
+        is asked for again comes back from there.
+        """
+        if len(self._young) > REMEMBERED // 2:
+            self._young, self._old = {}, self._young
+        young, old, pieces = self._young, self._old, split(text)
+        found = list(map(young.get, pieces))
+        if None in found:
+            for k, piece in enumerate(pieces):
+                if found[k] is None:
+                    packed = young.get(piece) or old.get(piece)
+                    if packed is None:
+                        packed = array("I", self.encode_piece(piece.encode())).tobytes()
+                    found[k] = young[piece] = packed
+        return array("I", b"".join(found)).tolist()
+
     def decode(self, ids: list[int]) -> bytes:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])
@@ -195,38 +217,16 @@ class Encoded:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _loaded(path: str) -> Bpe:
+    """Kept with what it remembers for as long as the worker lives."""
     return Bpe.from_file(path)
 
 
 def encoder(path: str, pattern: str):
-    """A function text -> list of (ids, their decimals joined by commas), one for each piece; it remembers pieces.
-
-    Two generations of remembered pieces: when the young one is full it becomes the old one, and what is asked for again
-    comes back from there.
-    """
+    """The vocabulary, and a function from a text to its ids."""
     bpe, split = _loaded(path), regex.compile(pattern).findall
-    known: dict[str, tuple] = {}
-    older: dict[str, tuple] = {}
-
-    def pieces(text: str) -> list[tuple[list[int], str]]:
-        nonlocal known, older
-        if len(known) > REMEMBERED // 2:
-            known, older = {}, known
-        out, get = [], known.get
-        for piece in split(text):
-            one = get(piece)
-            if one is None:
-                one = older.get(piece)
-                if one is None:
-                    ids = bpe.encode_piece(piece.encode())
-                    one = (ids, ",".join(map(str, ids)))
-                known[piece] = one
-            out.append(one)
-        return out
-
-    return bpe, pieces
+    return bpe, lambda text: bpe.encode(text, split)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,8 +234,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        _, pieces = encoder(path, pattern)
-        return lambda keys, texts: (keys, [[i for ids, _ in pieces(t or "") for i in ids] for t in texts])
+        _, ids_of = encoder(path, pattern)
+        return lambda keys, texts: (keys, [ids_of(t or "") for t in texts])
 
     return map_rows(docs, [key, text], make, f"`{key}` {kind}, ids array<int>")
 
@@ -259,15 +259,15 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        bpe, pieces = encoder(path, pattern)
+        bpe, ids_of = encoder(path, pattern)
+        decimal = {i: str(i) for i in bpe.bytes_of}
 
         def run(keys, texts):
             counts, shas, decoded, every = [], [], [], []
             for t in texts:
-                parts = pieces(t or "")
-                ids = [i for part, _ in parts for i in part]
+                ids = ids_of(t or "")
                 counts.append(len(ids))
-                shas.append(hashlib.sha256(",".join([s for _, s in parts]).encode()).hexdigest())
+                shas.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 every.append(ids if with_ids else None)
             return (keys, counts, shas, decoded, every) if with_ids else (keys, counts, shas, decoded)
