@@ -1,4 +1,4 @@
-"""python -m tidemark: run, plan, show, signature, log, ledger, status, holdout and config of a study.
+"""python -m tidemark: run, plan, sweep, search, show, report, compare, log, ledger, holdout, alerts, status of studies.
 
 A study is MODULE:FUNCTION or FILE.py:FUNCTION; the function takes (root, spark, **params) and returns a Pipeline.
 """
@@ -10,9 +10,10 @@ import importlib
 import importlib.util
 import json
 import sys
+import time
 from pathlib import Path
 
-from .plans import config, runner
+from .plans import config, experiment, report, runner
 from .plans.store import Ledger, lines
 
 
@@ -35,7 +36,23 @@ def _study(ref: str, root: str, params: list[str]):
         except ValueError:
             values[k] = v
     spark = SparkSession.builder.appName("tidemark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    return getattr(module, name)(root, spark, **values)
+    factory = getattr(module, name)
+    return factory(root, spark, **experiment.checked(factory, values))
+
+
+def _cells(path: Path, root: Path, command: str) -> int:
+    """Runs every cell of an experiment, after all have been checked; candidates that are the same study run once."""
+    e = experiment.load(path)
+    built = [(c, _study(e.study, str(root), [f"{k}={json.dumps(v)}" for k, v in c.items()])) for c in e.cells()]
+    seen: set[str] = set()
+    for cell, p in built:
+        signature = p.signature()
+        if signature in seen:
+            continue
+        seen.add(signature)
+        done = p.run()
+        print(json.dumps({"params": cell, "signature": signature[:12], "built": sum(not r.reused for r in done.values()), "cost": e.search.cost(cell) if e.search else 0.0}, default=str))
+    return 0
 
 
 def main(args: list[str] | None = None) -> int:
@@ -49,7 +66,12 @@ def main(args: list[str] | None = None) -> int:
         s.add_argument("--target", action="append")
         if name == "show":
             s.add_argument("stage")
-    for name in ("log", "ledger", "config", "status"):
+    for name in ("sweep", "search"):
+        sub.add_parser(name).add_argument("experiment", type=Path)
+    sub.add_parser("report").add_argument("out", type=Path)
+    for name in ("a", "b"):
+        (sub.add_parser("compare") if name == "a" else sub.choices["compare"]).add_argument(name)
+    for name in ("log", "ledger", "config", "status", "alerts"):
         sub.add_parser(name)
     sub.add_parser("holdout").add_argument("reason")
     a = parser.parse_args(args)
@@ -67,6 +89,18 @@ def main(args: list[str] | None = None) -> int:
         else:
             value = p.load(a.stage)
             value.show(20) if hasattr(value, "show") else print(json.dumps(value, indent=1, ensure_ascii=False))
+    elif a.command in ("sweep", "search"):
+        return _cells(a.experiment, root, a.command)
+    elif a.command == "report":
+        print("\n".join(map(str, report.write_pages(root, a.out))))
+    elif a.command == "compare":
+        found = report.compare(root, a.a, a.b)
+        print("\n".join(f"{n}\t{x}" for n, x in found.items()))
+        return int(any(x != "same" for x in found.values()))
+    elif a.command == "alerts":
+        deliver = report.Delivery(root, settings["alerts.sink"], settings["alerts.url"])
+        sent = report.check_runs(root, deliver, time.time(), lambda run: True, settings["alerts.patience"])
+        print("\n".join(f"{run}\t{what}" for run, what in sent))
     elif a.command == "log":
         print("\n".join(f"{r['run']}\t{len(r['stages'])} stages\t{r['signature'][:12]}" for r in lines(root / "runs.jsonl")))
     elif a.command == "ledger":

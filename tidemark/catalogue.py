@@ -251,6 +251,18 @@ def path_final_pnl(spark, d):
     return rounded(books.final_pnl(panels.trades(spark, d), scale=7.3123))
 
 
+def sizing_diagnostics(spark, d):
+    y = books.final_pnl(panels.trades(spark, d), scale=7.3123)
+    weights = books.out_of_sample(_path_preds(spark, d)).select("t0", F.col("pred").alias("w"))
+    return rounded(judge.sizing(weights, y).drop("mean_w_flagged"))
+
+
+def book_stats(spark, d):
+    stats = judge.book_stats(_days(spark, d), periods=12, block=6)
+    rows = [(side, float(stats[side]["sharpe"]), float(stats[side]["total"]), *map(float, stats[side]["sharpe_ci"]), stats["avg_live_long"], stats["avg_live_short"]) for side in ("long", "short", "ls")]
+    return spark.createDataFrame(rows, "side string, sharpe double, total double, lo double, hi double, avg_live_long double, avg_live_short double")
+
+
 def decile_spread(spark, d):
     return rounded(books.decile_spread(books.out_of_sample(_preds(spark, d)), q=0.1))
 
@@ -372,7 +384,7 @@ rolling_zscore rolling_mean lag_forward_return momentum fold_table ridge_walk_fo
 composite_walk_forward rule_walk_forward gbt_walk_forward in_sample_ic winsorize_in_fold interactions_in_fold pca_in_fold
 selection_scores cluster_selection zscore_ensemble zscore_ensemble_ts weight_stability quantile_book trailing_pool_book
 fold_standardised daily_book daily_book_from_first_live signal_book signal_book_short_only constant_book rule_book
-active_series path_daily_pnl path_on_calendar path_final_pnl decile_spread ic_by_year ts_ic_by_year per_date_ic
+active_series path_daily_pnl path_on_calendar path_final_pnl sizing_diagnostics book_stats decile_spread ic_by_year ts_ic_by_year per_date_ic
 fama_macbeth power_ic_volatility series_stats sharpe_by_year sharpe_by_half_year bootstrap_ci paired_bootstrap
 factor_attribution_1f factor_attribution return_moments deflated_sharpe align_series walk_forward_selection stitched_series
 pbo_logits holdout_dev holdout_horizon""".split()

@@ -288,6 +288,11 @@ pd as (select date, sum(x) as pnl from steps group by date),
 calendar as (select cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date from trades)
 select date, {_r('coalesce(pd.pnl, 0)', 'pnl')} from calendar left join pd using (date) where date between date '1999-01-01' and date '2001-06-30'""",
     "path_final_pnl": f"with {TS}{TRADES} select t0, {_r('arg_max(pnl, date) * 7.3123', 'y')} from trades group by t0",
+    "sizing_diagnostics": f"""with {TS_PREDS}{TRADES},
+yy as (select t0, arg_max(pnl, date) * 7.3123 as y from trades group by t0),
+b as (select unnest([-1, cast(year(t0) as int)]) as k, pred as w, y from preds as p join yy on yy.t0 = p.date where not is_train),
+r as (select *, {_ar('w', 'k')} as a, {_ar('y', 'k')} as c from b)
+select case when k >= 0 then k end as year, count(*) as n, {_r('avg(w)', 'mean_w')}, {_r(_pearson('w', 'y'), 'corr')}, {_r('case when count(*) >= 3 then ' + _pearson('a', 'c') + ' end', 'rank_ic')} from r group by k""",
     "decile_spread": f"""with {PREDS}, o as (select *, {_pr('pred', rows=True)} as pct from preds where not is_train),
 d as (select t0, avg(y) filter (pct >= 0.9 - 1e-12) - avg(y) filter (pct <= 0.1 + 1e-12) as d from o group by t0)
 select count(d) as n, {_r('avg(d)', 'mean')}, {_r('avg(d) * sqrt(count(d)) / nullif(stddev_samp(d), 0)', 't')} from d""",

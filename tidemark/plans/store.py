@@ -131,6 +131,23 @@ class Ledger:
         return self.opened()
 
 
+def guard(frame: DataFrame, ledger: Ledger, start: dt.date, column: str = "t0", horizon: str | None = None, early_exit: bool = False) -> DataFrame:
+    """frame without what is sealed, unless the ledger records the opening."""
+    from ..operators.judge import holdout
+
+    return holdout(frame, start, column, horizon, opened=ledger.opened() is not None, early_exit=early_exit)
+
+
+def with_holdout(fingerprint, ledger: Ledger):
+    """A source's fingerprint that changes when the holdout is opened."""
+
+    def both() -> str:
+        opened = ledger.opened()
+        return f"{fingerprint()}|holdout={'open@' + opened['at'] if opened else 'sealed'}"
+
+    return both
+
+
 def dig(value: Any, path: str) -> Any:
     """The value at a dotted path of a JSON output."""
     for part in path.split("."):
