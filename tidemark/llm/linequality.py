@@ -114,9 +114,9 @@ def forward_backward(lifts: list[np.ndarray], moves: np.ndarray) -> tuple[list[n
     for k, i in enumerate(order):
         flat[offsets[: len(lifts[i])] + k] = lifts[i]
     push = np.exp(moves)
-    alpha, norm, before = np.empty((len(flat), 2)), np.zeros(len(lifts)), None
+    alpha, before = np.empty((len(flat), 2)), None
+    norm = np.array([np.maximum(lifts[i], 0).sum() for i in order])
     grow = np.stack([np.exp(-np.maximum(flat, 0)), np.exp(np.minimum(flat, 0))], 1)  # (1, e^x), scaled to at most 1
-    norm += np.add.reduceat(np.maximum(flat, 0)[np.argsort(_owner(running), kind="stable")], np.concatenate([[0], np.cumsum(lengths)[:-1]])) if len(flat) else 0
     for t in range(longest):
         r, a = running[t], offsets[t]
         now = grow[a : a + r] if before is None else (before[:r] @ push) * grow[a : a + r]
@@ -144,10 +144,6 @@ def forward_backward(lifts: list[np.ndarray], moves: np.ndarray) -> tuple[list[n
     return out, pairs, z
 
 
-def _owner(running: list[int]) -> np.ndarray:
-    return np.concatenate([np.arange(r) for r in running]) if running else np.zeros(0, int)
-
-
 def train(chains: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Chain:
     """Maximum conditional likelihood with a quadratic penalty, by Adam. chains: the features of each document's lines.
 
