@@ -322,6 +322,27 @@ def test_near_duplicates(spark, odd, none):
     assert len([x for x in neardup.first_of_each(odd).collect() if x["text"] == "same text here"]) == 1
 
 
+def hot_texts(r: random.Random) -> tuple[list[str], list[int]]:
+    """120 documents around one passage of 60 words, and 10 pairs near each other only in words outside of it; classes."""
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = [" ".join(passage + [word() for _ in range(60)]) for _ in range(120)]
+    least = list(range(120))
+    for _ in range(10):
+        own = [word() for _ in range(24)]
+        texts += [" ".join(passage + own), " ".join(passage + [word() if i % 4 == 0 else x for i, x in enumerate(own)])]
+        least += [len(texts) - 2] * 2
+    return texts, least
+
+
+def test_near_duplicates_that_share_only_a_hot_passage(spark, monkeypatch):
+    texts, least = hot_texts(random.Random(8))
+    for tile in (neardup.TILE, 16):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        got = {x["doc_id"]: x["class_id"] for x in neardup.classes(table(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == least
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
