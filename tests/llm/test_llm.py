@@ -343,6 +343,35 @@ def test_near_duplicates_that_share_only_a_hot_passage(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == least
 
 
+@pytest.mark.parametrize("n", range(4, 15))
+def test_short_texts_meet(n):
+    r = random.Random(n)
+    for _ in range(50):
+        a = b = [r.randrange(2**63) for _ in range(n)]
+        for edit in range(max(1, n // 5)):
+            i = r.randrange(len(b))
+            b = [b[:i] + [edit] + b[i + 1 :], b[:i] + [edit] + b[i:], b[:i] + b[i + 1 :]][r.randrange(3)]
+        if max(1, n // 5) <= max(n, len(b)) // 5 <= 2:
+            assert set(neardup.shortened(np.array(a, np.uint64), 0.8)) & set(neardup.shortened(np.array(b, np.uint64), 0.8))
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of exactly similarity 0.8, edits at random places or evenly spread, and short texts of one or two edits."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts, kinds = [], []
+    for n, places in [*[(200, None)] * 40, *[(200, range(2, 200, 5))] * 40, *[(n, None) for n in range(5, 15) for _ in range(4)]]:
+        ws = [word() for _ in range(n)]
+        at = set(places if places is not None else r.sample(range(n), n // 5) if n > 14 else [n // 2, n // 4][: n // 5])
+        texts += [" ".join(ws), " ".join(word() if i in at else w for i, w in enumerate(ws))]
+        kinds.append("short" if n < 15 else "random" if places is None else "spread")
+    texts += ["one two three four", "one two three four five", "one two three five"]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(table(spark, texts)).collect()}
+    met = {k: [got[2 * i] == got[2 * i + 1] for i, x in enumerate(kinds) if x == k] for k in set(kinds)}
+    assert all(met["short"]) and all(sum(met[k]) >= 0.95 * len(met[k]) for k in ("random", "spread"))
+    assert len({got[len(texts) - i] for i in (1, 2, 3)}) == 1
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
