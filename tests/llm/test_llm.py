@@ -253,6 +253,15 @@ def test_winnowing(spark, odd, none, most):
         assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_items_without_an_id(spark, most):
+    docs = spark.createDataFrame([(1, "x " + prose(50, 14)), (2, "other words"), (3, "a b c")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, prose(50, 14)), (None, "b c"), (7, "a b")], "item_id bigint, text string")
+    got = {x["doc_id"]: (x["n_hit"], x["n_items"], x["items"], x["contaminated"]) for x in decontaminate.report(docs, bench, most_broadcast=most).collect()}
+    assert got == {1: (14, 1, [], True), 2: (0, 0, [], False), 3: (3, 2, ["7"], True)}
+    assert [x["doc_id"] for x in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ length is looked for as it is (lengths below N are at most N - 1, so at most tha
 
 DataFrame functions only. The benchmark's fingerprints are broadcast if a count finds them within `most_broadcast` rows;
 otherwise fingerprints are shuffled and only documents with hits are read again. Null texts have no words; documents
-without words have no hits; repeated rows give a row each; items that share an id count as one item.
+without words have no hits; repeated rows give a row each; items that share an id count as one item,
+and so do those whose id is null, which is counted but not listed.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ def _equal(n: Column) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """_key, _hash (of the text), _n_words, _copies (rows with that key and text), _spans (array of start, end), _items."""
+    """_key, _hash (of the text), _n_words, _copies (rows with that key and text), _spans (array of start, end), _items, _unnamed (1 if an item
+    without an id is among the hits)."""
     prints, short = benchmark_prints(items, item, text)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
     rows = once(rows, "_words", item_words(F.col("_t"))).withColumns({"_hash": F.xxhash64("_t"), "_n_words": F.size("_words").cast("bigint")}).drop("_t")
@@ -91,7 +93,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     whole = prints.filter(F.col("_n") == N).drop("_n").withColumnRenamed("_h", "_ph")
     if small(prints, most_broadcast, F.char_length(F.array_join("_near", ""))):
         met = _windows(rows, [*of, "_words"], none=True).join(F.broadcast(whole), F.col("_h") == F.col("_ph"), "left")
-        met = met.filter((F.col("_s") < 0) | (F.col("_item").isNotNull() & _equal(F.lit(N))))
+        met = met.filter((F.col("_s") < 0) | (F.col("_ph").isNotNull() & _equal(F.lit(N))))
         found = met.select(*of, (F.col("_s") < 0).cast("bigint").alias("_row"), F.lit(N).alias("_n"), "_s", "_item")
         for n in short:
             few = prints.filter(F.col("_n") == n).drop("_n").withColumnRenamed("_h", "_ph")
@@ -112,7 +114,8 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         found = found.unionByName(rows.select(*of, F.lit(1).cast("bigint").alias("_row"), none.cast("int").alias("_n"), none.cast("int").alias("_s"), none.cast("string").alias("_item")))
     span = F.when(F.col("_row") == 0, F.struct(F.col("_s").alias("start"), (F.col("_s") + F.col("_n")).alias("end")))
     return found.select(*out[:4], span.alias("_span"), "_item").groupBy(*of).agg(
-        F.sum("_row").alias("_copies"), F.array_sort(F.collect_set("_span")).alias("_spans"), F.array_sort(F.collect_set("_item")).alias("_items")
+        F.sum("_row").alias("_copies"), F.array_sort(F.collect_set("_span")).alias("_spans"), F.array_sort(F.collect_set("_item")).alias("_items"),
+        F.max(((F.col("_row") == 0) & F.col("_item").isNull()).cast("int")).alias("_unnamed"),
     )
 
 
@@ -129,7 +132,7 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
     n_hit = covered(F.col("_spans"))
     return found.select(
-        F.col("_key").alias(key), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"),
+        F.col("_key").alias(key), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), (F.size("_items") + F.col("_unnamed")).cast("bigint").alias("n_items"),
         F.col("_items").alias("items"), F.col("_spans").alias("spans"), (n_hit > 0).alias("contaminated"),
     )
 
