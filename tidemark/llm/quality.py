@@ -1,34 +1,43 @@
 """Quality rules as weak supervision.
 
-Each rule looks at counts of a text and votes good, bad or abstains. Expectation-maximisation over all documents'
-votes estimates how often each rule votes so on good and on bad documents, and the share of good documents; a document
-stays if its posterior probability of being good reaches a threshold. Documents enter the estimate only through the
-number of times each combination of votes occurs: at most 3^rules rows reach the driver, however many documents there
-are, and the combinations' posteriors go back as a table of the same size.
+Each rule looks at counts of a text and votes good, bad or abstains. Expectation-maximisation over all documents' votes
+estimates the share of good documents and, for each rule that votes, how often it votes bad on good and on bad documents;
+a vote then moves a document's odds by the ratio of the two rates, and a document stays if its posterior probability of
+being good reaches a threshold. So one bad vote can be outvoted, and a rule that votes at random weighs nothing.
+
+What is believed before any vote is seen counts as WEIGHT documents for each rate, so it fades as documents are counted.
+Documents enter the estimate only through the number of times each combination of votes occurs: at most 3^rules rows
+reach the driver, however many documents there are, and the combinations' posteriors go back as a table of the same size.
+The counts of each text are taken once and stored as a narrow table, which both the estimate and the result read.
 
 Words are runs of anything but ASCII white space. Null text has no words and, like an empty one, fails the base rule.
-Repeated rows are judged alike. An empty table gives an empty result.
+Very long texts are counted whole, in memory proportional to the text. Repeated rows are judged alike, ties in the
+posterior too; a row's other columns, whatever their names, play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import bounded_batches, map_rows, packed, stored
 
 #: The symbols that are counted, and the ends of a sentence.
 SYMBOLS = "#*$%&|<>"
 ENDS = (".", "!", "?", ":", '"', "”", "…")
+#: A word of letters (all beyond ASCII count as such), with one mark after it at most.
+PLAIN = re.compile(rb"(?<![^\x20\x09-\x0D])[A-Za-z\x80-\xFF][A-Za-z\x80-\xFF'-]*[.,;:!?)\"]?(?![^\x20\x09-\x0D])")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_upper", "n_distinct", "n_ended", "n_exclaimed")
+MORE = ("n_lines", "n_upper", "n_distinct", "n_ended", "n_exclaimed", "n_plain", "n_digits", "n_runs")
 GOOD, NONE, BAD = 1, 0, -1
 
 
@@ -51,38 +60,54 @@ def counts(text: str | None) -> tuple[int, ...]:
                 if times[w] > 1:
                     repeated += i + 3 - max(i, covered)
                     covered = i + 3
-    distinct = set(words)
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    digits = sum(map(text.count, "0123456789"))
     ended = sum(x.rstrip().decode("utf-8", "replace").endswith(ENDS) for x in lines)
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, len(distinct), ended, text.count("!")
+    plain, runs = len(PLAIN.findall(raw)), sum(map(bytes.__eq__, words, words[1:]))
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, len(set(words)), ended, text.count("!"), plain, digits, runs
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes on a dict of counts: GOOD, NONE or BAD."""
+    """Votes on a dict of counts: GOOD, NONE or BAD. kind: the kind of junk that it looks for."""
 
     name: str
+    kind: str
     vote: Callable[[dict], int]
 
 
-def _flag(x: float, bad: float) -> int:
-    return BAD if x >= bad else NONE
+def _low(kind: str, name: str, of: str, good: float, bad: float) -> Rule:
+    """Good if counts `name` per `of` are at most `good`, bad from `bad` on, else it abstains."""
+    return Rule(name, kind, lambda c: GOOD if c[name] <= good * c[of] else BAD if c[name] >= bad * c[of] else NONE)
+
+
+def _high(kind: str, name: str, of: str, good: float, bad: float) -> Rule:
+    """Good from `good` on, bad at most `bad`, else it abstains."""
+    return Rule(name, kind, lambda c: GOOD if c[name] >= good * c[of] else BAD if c[name] <= bad * c[of] else NONE)
+
+
+def _variety(good: float, bad: float) -> Rule:
+    """Distinct words, against the power 3/4 of all words that they follow in prose."""
+    usual = lambda c: max(c["n_words"], 50) ** 0.75
+    return Rule("variety", "repetition", lambda c: GOOD if c["n_distinct"] >= good * usual(c) else BAD if c["n_distinct"] <= bad * usual(c) else NONE)
 
 
 def default_rules() -> list[Rule]:
-    """Six flags, which vote bad or abstain, on symbols, capitals, exclamation, repetition and variety; three rules on
-    length and shape, which can vote either way."""
-    per_word = lambda c, name: c[name] / max(c["n_words"], 1)
+    """Twelve rules that vote either way, for four kinds of junk; each kind is looked at from several sides, so that a
+    rule's bad votes can be held against those of its neighbours."""
     return [
-        Rule("symbols", lambda c: _flag(per_word(c, "n_symbols"), 0.1)),
-        Rule("capitals", lambda c: _flag(c["n_upper"] / max(c["word_chars"], 1), 0.3)),
-        Rule("exclamation", lambda c: _flag(per_word(c, "n_exclaimed"), 0.3)),
-        Rule("repeated_words", lambda c: _flag(per_word(c, "n_repeat_words"), 0.3)),
-        Rule("repeated_lines", lambda c: _flag(c["n_dup_lines"] / max(c["n_lines"], 1), 0.5)),
-        Rule("variety", lambda c: _flag(-c["n_distinct"] / max(c["n_words"], 50) ** 0.75, -0.6)),
-        Rule("length", lambda c: BAD if c["n_words"] < 20 else GOOD if c["n_words"] >= 80 else NONE),
-        Rule("word_length", lambda c: GOOD if 3.0 <= per_word(c, "word_chars") <= 8.0 else BAD if per_word(c, "word_chars") > 15 else NONE),
-        Rule("ended_lines", lambda c: GOOD if 2 * c["n_ended"] >= c["n_lines"] > 0 else BAD if not c["n_ended"] and c["n_lines"] >= 5 else NONE),
+        _low("symbols", "n_symbols", "n_words", 0.02, 0.1),
+        _high("symbols", "n_plain", "n_words", 0.9, 0.7),
+        _low("shouting", "n_upper", "word_chars", 0.1, 0.3),
+        _low("shouting", "n_exclaimed", "n_words", 0.05, 0.25),
+        _low("repetition", "n_repeat_words", "n_words", 0.1, 0.3),
+        _low("repetition", "n_runs", "n_words", 0.02, 0.2),
+        _low("repetition", "n_dup_lines", "n_lines", 0.1, 0.5),
+        _variety(0.9, 0.6),
+        Rule("length", "scraps", lambda c: BAD if c["n_words"] < 60 else GOOD if c["n_words"] >= 100 else NONE),
+        Rule("word_length", "scraps", lambda c: GOOD if 3 * c["n_words"] <= c["word_chars"] <= 8 * c["n_words"] else BAD),
+        _high("scraps", "n_ended", "n_lines", 0.5, 0.2),
+        _low("scraps", "n_digits", "word_chars", 0.02, 0.1),
     ]
 
 
@@ -90,42 +115,53 @@ def base_failed(c: dict) -> bool:
     return c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
 
 
+def voted(rules: list[Rule]) -> Callable[[str | None], tuple]:
+    """A text to the values of COUNTS, base_failed and votes (one letter a rule: g, b or -)."""
+    letter = {GOOD: "g", NONE: "-", BAD: "b"}
+
+    def of(text: str | None) -> tuple:
+        values = counts(text)
+        c = dict(zip(COUNTS + MORE, values, strict=True))
+        return *values[: len(COUNTS)], base_failed(c), "".join(letter[r.vote(c)] for r in rules)
+
+    return of
+
+
 def votes(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, the counts, base_failed and votes (one letter a rule: g, b or -), in a map over the rows."""
+    """key, the counts, base_failed and votes, in a map over the rows."""
     rules = rules or default_rules()
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        letter = {GOOD: "g", NONE: "-", BAD: "b"}
+        of = voted(rules)
+        return lambda keys, texts: (keys, *(list(x) for x in zip(*map(of, texts), strict=True)))
 
-        def run(keys, texts):
-            rows = []
-            for t in texts:
-                values = counts(t)
-                c = dict(zip(COUNTS + MORE, values, strict=True))
-                rows.append((*values[: len(COUNTS)], base_failed(c), "".join(letter[r.vote(c)] for r in rules)))
-            return keys, *(list(x) for x in zip(*rows, strict=True))
+    return map_rows(docs, [key, text], make, f"`{key}` {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, votes string")
 
-        return run
 
-    return map_rows(docs, [key, text], make, f"`{key}` {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, votes string")
+#: What is believed of a rule before votes are seen: how often it votes bad on good documents and on other kinds of junk,
+#: and on its own kind; of the share of good documents; and the documents that each such belief counts for.
+FALSE_ALARM, DETECTION, SHARE, WEIGHT = 0.05, 0.7, 0.9, 10.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good documents. right: for each rule, how often a bad and a good vote of it are right."""
+    """shares: of good documents (place 0) and of each kind of junk. alarms: for each rule (row), of its votes those that
+    are bad on the documents of each class."""
 
-    prior: float
-    right: np.ndarray
+    shares: np.ndarray
+    alarms: np.ndarray
 
-    def posterior(self, patterns: list[str]) -> np.ndarray:
-        """By Bayes: each vote moves the odds from the prior by what its accuracy says; who abstains says nothing."""
+    def classes(self, patterns: list[str]) -> np.ndarray:
+        """The probability of each class for each combination, by Bayes; who abstains says nothing."""
         bad, good = _cast(patterns)
-        odds = np.log(self.prior) - np.log1p(-self.prior)
-        by_good = np.log(self.right[:, 1]) - np.log1p(-self.right[:, 1]) - odds
-        by_bad = np.log1p(-self.right[:, 0]) - np.log(self.right[:, 0]) - odds
-        x = odds + good @ by_good + bad @ by_bad
-        return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+        x = np.log(self.shares) + bad @ np.log(self.alarms) + good @ np.log1p(-self.alarms)
+        x = np.exp(x - x.max(1, keepdims=True)) if len(x) else x
+        return x / x.sum(1, keepdims=True)
+
+    def posterior(self, patterns: list[str]) -> np.ndarray:
+        """The probability of being good."""
+        return self.classes(patterns)[:, 0]
 
 
 def _cast(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,70 +170,61 @@ def _cast(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (at == "b").astype(float), (at == "g").astype(float)
 
 
-def fit(histogram: dict[str, int], rounds: int = 200, believed: float = 0.97, share: float = 0.9, trust: float = 1.0) -> Model:
-    """EM over vote combinations and their numbers of documents.
+def fit(histogram: dict[str, int], rules: list[Rule], rounds: int = 500, weight: float = WEIGHT) -> Model:
+    """EM over vote combinations and their numbers of documents, from the beliefs on.
 
-    A rule that votes alone on its documents has no one to agree or disagree with, so its accuracy can't be told from
-    votes: a bad vote's is drawn towards `believed` and a good vote's towards the share of good documents, which says
-    nothing, and the share of good documents itself towards `share`, as if that were seen on `trust` times the documents it votes on. The weight is relative, so the estimate is
-    the same however often the corpus is repeated.
+    A rate is (bad votes + weight * belief) / (votes + weight), each document counting for a class by its posterior.
     """
     patterns = sorted(histogram)
     bad, good = _cast(patterns)
     n = np.array([histogram[p] for p in patterns], float)
-    prior, p = share, None
-    right = np.tile(np.array([believed, prior]), (bad.shape[1], 1))
+    kinds = sorted({r.kind for r in rules})
+    shares = np.array([SHARE] + [(1 - SHARE) / len(kinds)] * len(kinds))
+    beliefs = np.array([[FALSE_ALARM] + [DETECTION if r.kind == k else FALSE_ALARM for k in kinds] for r in rules])
+    model, p = Model(shares, beliefs), None
     for _ in range(rounds):
-        now = Model(prior, right).posterior(patterns)
+        now = model.classes(patterns)
         if p is not None and np.abs(now - p).max() < 1e-9:
             break
-        p = now
-        prior = float(np.clip((n @ p / max(n.sum(), 1) + trust * share) / (1 + trust), 1e-6, 1 - 1e-6))
-        for k, (cast, truth, belief) in enumerate(((bad, 1 - p, believed), (good, p, prior))):
-            times = n @ cast
-            right[:, k] = np.clip(((n * truth) @ cast + trust * times * belief) / np.maximum((1 + trust) * times, 1e-9), 0.05, 0.999)
-            right[times == 0, k] = belief
-        right[:, 1] = np.maximum(right[:, 1], prior)  # a good vote never counts against a document
-    return Model(prior, right)
+        p, held = now, now * n[:, None]
+        model = Model((held.sum(0) + weight * shares) / (n.sum() + weight), (bad.T @ held + weight * beliefs) / ((bad + good).T @ held + weight))
+    return model
+
+
+def _posteriors(table: DataFrame, rules: list[Rule], threshold: float) -> DataFrame:
+    """votes, p_good, _good for the combinations in a stored table of votes; as many rows as combinations."""
+    histogram = {r["votes"]: r["n"] for r in table.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    patterns = sorted(histogram)
+    p = fit(histogram, rules).posterior(patterns).tolist() if histogram else []
+    schema = T.StructType([T.StructField("votes", T.StringType()), T.StructField("p_good", T.DoubleType()), T.StructField("_good", T.BooleanType())])
+    return table.sparkSession.createDataFrame([(v, x, x >= threshold) for v, x in zip(patterns, p, strict=True)], schema)
 
 
 def judged(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, counts, base_failed, votes, p_good and kept (p_good >= threshold, and the base rule not failed).
 
-    Two passes over the texts, no shuffle but the histogram's: a pass that counts combinations, summed before they
-    move, and a pass that looks each document's combination up in a broadcast table of at most 3^rules rows.
+    One pass over the texts, into a narrow stored table; no shuffle but the histogram's, summed before it moves.
     """
     rules = rules or default_rules()
-    spark, voted = docs.sparkSession, votes(docs, rules, key, text)
-    histogram = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    patterns = sorted(histogram)
-    p = fit(histogram).posterior(patterns).tolist() if histogram else []
-    schema = T.StructType([T.StructField("votes", T.StringType()), T.StructField("p_good", T.DoubleType())])
-    table = spark.createDataFrame(list(zip(patterns, p, strict=True)), schema)
-    return voted.join(F.broadcast(table), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    table = stored(votes(docs, rules, key, text), "votes")
+    out = table.join(F.broadcast(_posteriors(table, rules, threshold)), "votes")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("_good")).drop("_good")
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs that judged() keeps, all columns as they are."""
-    from pyspark.sql.functions import pandas_udf
+    """The rows of docs that judged() keeps, all columns as they are.
 
+    The rows are stored with their votes, so that texts are counted once and no row is shuffled.
+    """
     rules = rules or default_rules()
-    spark = docs.sparkSession
-    keyed = docs.select(F.lit(0).alias("_k"), F.col(text).alias("_t"))
-    histogram = {r["votes"]: r["n"] for r in votes(keyed, rules, "_k", "_t").groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    if not histogram:
-        return docs
-    patterns = sorted(histogram)
-    good = spark.sparkContext.broadcast({v for v, x in zip(patterns, fit(histogram).posterior(patterns).tolist(), strict=True) if x >= threshold})
-
-    @pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
 
-        letter, out = {GOOD: "g", NONE: "-", BAD: "b"}, []
-        for t in texts:
-            c = dict(zip(COUNTS + MORE, counts(t), strict=True))
-            out.append(not base_failed(c) and "".join(letter[r.vote(c)] for r in rules) in good.value)
-        return pd.Series(out, dtype=bool)
+    @F.pandas_udf("base_failed boolean, votes string")
+    def cast(texts: pd.Series) -> pd.DataFrame:
+        of = voted(rules)
+        return pd.DataFrame([of(t)[-2:] for t in texts], columns=["base_failed", "votes"])
 
-    return docs.filter(passes(F.col(text)))
+    bounded_batches(docs.sparkSession)
+    rows = packed(docs, _v=cast(F.col(text))).select("_row", F.col("_v.base_failed").alias("_failed"), F.col("_v.votes").alias("votes"))
+    rows = stored(rows, "voted")
+    good = _posteriors(rows, rules, threshold).filter("_good").select("votes")
+    return rows.filter("not _failed").join(F.broadcast(good), "votes", "left_semi").select("_row.*")
