@@ -7,7 +7,10 @@ each document begins. A lookup is a few hashes, one fingerprint comparison and o
 shard's size. manifest.json lists the shards with their key ranges and the ids before them.
 
 Defined results: null text is empty (it holds the end id alone); documents that share a key lie next to each other, in
-order of their text, and a lookup returns all of them; null keys come first; an empty table gives no shard.
+order of their text, and a lookup returns all of them; null keys come first; an empty table gives no shard. Keys are whole
+numbers (others are refused). Very long texts are encoded whole, a batch being bounded by bytes as well as by rows. Other
+columns, whatever their names, play no part. Without `out`, shards go to the application's scratch folder, which is deleted
+when the driver ends.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import scratch
+from .common import bounded_batches, scratch
 
 GAMMA = 2.0
 
@@ -190,29 +194,65 @@ def _open(uri: str) -> Shard:
     return Shard(uri)
 
 
+#: The normaliser and pre-tokeniser of which it is shown below that a text's ids are those of its words.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def wordwise(config: dict) -> bool:
+    """Whether the ids of a text, by a tokenizer with this configuration, are those of its words one after another, words
+    being cut at every space and line break.
+
+    So it is for WORDWISE: no composition of NFC begins with or crosses an ASCII space; lower case goes character by
+    character; every alternative of the pattern leaves white space out and none looks around, so matches lie within words
+    and depend on nothing outside; byte-level pieces are encoded one by one. Strings of added tokens are looked for in the
+    raw text, so they must hold no white space and not depend on what is around them. No truncation, padding or
+    post-processor may look at the whole.
+    """
+    same = all(config.get(k) == v for k, v in WORDWISE.items())
+    plain = all(not config.get(k) for k in ("truncation", "padding", "post_processor"))
+    added = all(len(t["content"].split()) == 1 and t["content"].strip() == t["content"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in config.get("added_tokens", ()))
+    return same and plain and added and config["model"]["type"] == "BPE" and not config["model"].get("dropout")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """The tokenizer and two generations of remembered words, kept for as long as the worker lives."""
+    """The tokenizer, whether it works word by word, and two generations of remembered words, kept for as long as the worker
+    lives."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return t, [{}, {}]
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    return Tokenizer.from_file(path), wordwise(config), [{}, {}]
 
 
 def text_encoder(path: str, memory: int = 1_000_000):
-    """texts -> list of two- or four-byte id strings, by the tokenizers library.
+    """texts -> list of two- or four-byte id strings, as the tokenizers library encodes each whole text with
+    add_special_tokens=False: strings of special tokens in a text give their ids.
 
-    The tokenizer of `path` drops white space between words and merges only within them, and no step before looks
-    across a space or a line break, so a text's ids are those of its words, and a word need be encoded only once. At
-    most `memory` words are remembered, some 200 bytes each; those not asked for again are forgotten first.
+    Where the tokenizer is shown to work word by word (see wordwise), each distinct word goes through the library once; at
+    most `memory` words are remembered, some 200 bytes each, and those not asked for again are forgotten first. With any
+    other tokenizer whole texts go through it.
     """
-    tokenizer, generations = _tokenizer(path)
+    tokenizer, by_word, generations = _tokenizer(path)
     letter = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
     kind = np.dtype("<u2" if letter == "H" else "<u4")
 
+    def encoded(texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(letter, e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, kind).tobytes() for e in found]
+
     def run(texts: list[str | None]) -> list[bytes]:
+        if not by_word:
+            return encoded([t or "" for t in texts])
         if len(generations[0]) > memory // 2:
             generations[:] = [{}, generations[0]]
         known, older = generations
@@ -225,13 +265,17 @@ def text_encoder(path: str, memory: int = 1_000_000):
                 new.append(w)
             else:
                 known[w] = x
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            known[w] = array(letter, e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, kind).tobytes()
+        known.update(zip(new, encoded(new), strict=True))
         return [b"".join([known[w] for w in ws] if None in row else row) for ws, row in zip(words, rows, strict=True)]
 
     return run, kind
 
 
+def _whole_keys(df: DataFrame, key: str) -> None:
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is {df.schema[key].dataType.simpleString()}: shards are kept by whole numbers")
+
+
 def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, shards: int | None = None, end_id: int = 1, key: str = "doc_id", text: str = "text") -> str:
     """Encodes whole texts, appends end_id to each and writes them in ascending key order. Returns the folder.
 
@@ -240,6 +284,8 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, shards
     payload. The driver gets one row a shard.
     """
     spark = docs.sparkSession
+    _whole_keys(docs, key)
+    bounded_batches(spark)
     out = out or scratch(spark, "shards")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -284,6 +330,7 @@ def read_shards(keys: DataFrame, out: str, key: str = "doc_id") -> DataFrame:
     Keys are dealt by range first, so that a task opens only neighbouring shards.
     """
     spark = keys.sparkSession
+    _whole_keys(keys, key)
     listed = manifest(out)["shards"]
     least = [r["least"] for r in listed if r["least"] is not None]
     most = [r["most"] for r in listed if r["most"] is not None]
