@@ -6,7 +6,8 @@ before it survives merging (merging the bytes of the pair gives the pair back).
 encodes a piece; appending bytes extends the table without touching it, and an edit keeps the table up to the edit.
 
 Null text counts as empty: no tokens. Empty text has no tokens. Repeated rows are encoded alike. Any text length works;
-time is linear in the bytes of a piece, up to the vocabulary's longest token.
+time is linear in the bytes of a piece, up to the vocabulary's longest token. What a worker remembers is bounded by bytes.
+An empty table gives an empty result; columns besides key and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,13 +17,19 @@ import hashlib
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: Pieces and pairs of tokens that a worker remembers at most; some 200 and 130 bytes each.
-REMEMBERED, PAIRS = 400_000, 300_000
+#: Bytes of pieces that a worker remembers at most, in two generations, and pairs of tokens, of some 130 bytes each.
+REMEMBERED, PAIRS = 48 << 20, 150_000
+#: Bytes that Python takes for a remembered piece besides its text and ids.
+ENTRY = 190
+#: Characters of a piece from which on it isn't remembered.
+LONGEST = 200
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -37,6 +44,7 @@ class Bpe:
         self._edges: dict[int, tuple] = {}
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._held = 0
         self._alone: dict[int, bool] = {}
         #: The lengths of the tokens that end in the same three bytes, longest first; shorter tokens end everything.
         ends: dict[bytes, set[int]] = {}
@@ -138,14 +146,14 @@ class Bpe:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk(self.extend(piece, []))
 
-    def encode(self, text: str, split) -> list[int]:
-        """The ids of a text's pieces as split gives them.
+    def encode_packed(self, text: str, split) -> bytes:
+        """The ids of a text's pieces as split gives them, as unsigned 32-bit integers of this machine.
 
         Pieces are remembered, packed, in two generations: when the young one is full it becomes the old one, and what
         is asked for again comes back from there.
         """
-        if len(self._young) > REMEMBERED // 2:
-            self._young, self._old = {}, self._young
+        if self._held > REMEMBERED // 2:
+            self._young, self._old, self._held = {}, self._young, 0
         young, old, pieces = self._young, self._old, split(text)
         found = list(map(young.get, pieces))
         if None in found:
@@ -154,8 +162,15 @@ class Bpe:
                     packed = young.get(piece) or old.get(piece)
                     if packed is None:
                         packed = array("I", self.encode_piece(piece.encode())).tobytes()
-                    found[k] = young[piece] = packed
-        return array("I", b"".join(found)).tolist()
+                    if len(piece) <= LONGEST:
+                        if piece not in young:
+                            self._held += ENTRY + len(piece) + len(packed)
+                        young[piece] = packed
+                    found[k] = packed
+        return b"".join(found)
+
+    def encode(self, text: str, split) -> list[int]:
+        return array("I", self.encode_packed(text, split)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         of = self.bytes_of
@@ -229,13 +244,19 @@ def encoder(path: str, pattern: str):
     return bpe, lambda text: bpe.encode(text, split)
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit integers from their bytes, without an object for each."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))]))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int> of each whole text, in a map over the rows: no shuffle."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        _, ids_of = encoder(path, pattern)
-        return lambda keys, texts: (keys, [ids_of(t or "") for t in texts])
+        bpe, split = _loaded(path), regex.compile(pattern).findall
+        return lambda keys, texts: (keys, _lists([bpe.encode_packed(t or "", split) for t in texts]))
 
     return map_rows(docs, [key, text], make, f"`{key}` {kind}, ids array<int>")
 
@@ -259,18 +280,20 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        bpe, ids_of = encoder(path, pattern)
-        decimal = {i: str(i) for i in bpe.bytes_of}
+        bpe, split = _loaded(path), regex.compile(pattern).findall
+        decimal, of = {i: b"%d" % i for i in bpe.bytes_of}, bpe.bytes_of
 
         def run(keys, texts):
             counts, shas, decoded, every = [], [], [], []
             for t in texts:
-                ids = ids_of(t or "")
+                packed = bpe.encode_packed(t or "", split)
+                ids = memoryview(packed).cast("I")
                 counts.append(len(ids))
-                shas.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                every.append(ids if with_ids else None)
-            return (keys, counts, shas, decoded, every) if with_ids else (keys, counts, shas, decoded)
+                shas.append(hashlib.sha256(b",".join([decimal[i] for i in ids])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([of[i] for i in ids])).hexdigest())
+                if with_ids:
+                    every.append(packed)
+            return (keys, counts, shas, decoded, _lists(every)) if with_ids else (keys, counts, shas, decoded)
 
         return run
 
