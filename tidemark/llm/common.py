@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII capitals and their small letters, for F.translate.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Set where spark.checkpoint.dir is not and the master is one machine, as in tests.
+LOCAL_DIR = "/tmp/tidemark-checkpoints"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. One of our own only where none is set, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. One of our own only where none is set and the master is
+    this machine, as in tests; elsewhere that is an error, as executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "/tmp/tidemark-checkpoints"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = LOCAL_DIR
         spark.sparkContext.setCheckpointDir(path)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_cleared: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder of this application that goes when the driver ends (see clear)."""
+    top = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if top not in _cleared:
+        _cleared.add(top)
+        atexit.register(clear, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession, top: str | None = None) -> None:
+    """Deletes what this application stored in the shared folder; frames that still read it can't be used any more."""
+    with suppress(Exception):  # at the driver's end the context may be gone
+        top = top or f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Runs the plan once and cuts its lineage at files in the shared folder, so a lost executor recomputes nothing above it."""
+    """Runs the plan once and cuts its lineage at files in the shared folder, so a lost executor recomputes nothing above it.
+
+    The rows are counted as they are written; `rows_of` then needs no job of its own.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    out._rows_written = seen.get["n"]
+    return out
+
+
+def rows_of(df: DataFrame) -> int | None:
+    """The rows of what materialise returned; None for other frames."""
+    return getattr(df, "_rows_written", None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,24 +94,62 @@ def short_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, was)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, and of the rows that are worked on at a time, from which on no row
+#: is added; rows of these at most.
+BATCH_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 4 << 20, 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold at most BATCH_BYTES bytes, unless a lower bound is set already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with suppress(Exception):  # a Spark without that setting bounds rows only
+        if not 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= BATCH_BYTES:
+            spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most PART_ROWS rows, and some PART_BYTES bytes or one row."""
+    sizes = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, min(at + PART_ROWS, int(np.searchsorted(ends, before + PART_BYTES, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers live on after a task, and so would what they once held."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
-    """Arrow batches of `columns` through make()(lists of their values) -> lists of the output's columns.
+    """Arrow batches of `columns` through make()(lists of their values) -> lists (or Arrow arrays) of the output's columns.
 
-    make runs once per task, on the executor: models and vocabularies are loaded there. A batch is at most as many rows
-    as spark.sql.execution.arrow.maxRecordsPerBatch says; nothing outlives it but what make keeps.
+    make runs once per task, on the executor: models and vocabularies are loaded there. Batches are bounded by rows and
+    bytes and worked on in parts; nothing outlives a part but what make keeps.
     """
     target = _arrow_schema(df.sparkSession, schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
         for batch in batches:
             f = f or make()
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in _parts(batch):
                 out = f(*[part.column(i).to_pylist() for i in range(part.num_columns)])
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(out, target, strict=True)], schema=target)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for x, t in zip(out, target, strict=True)], schema=target)
+        del f
+        give_back()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in columns]).mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
@@ -97,13 +172,16 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-#: Rows, and elements or characters in rows of varying size, of a key table that are broadcast at most: some 50 MB.
+#: Rows, and elements or characters in rows of varying size, of a key table that are broadcast at most: some 20 MB.
 #: Beyond either, joins shuffle.
-BROADCAST_ROWS, BROADCAST_WEIGHT = 500_000, 5_000_000
+BROADCAST_ROWS, BROADCAST_WEIGHT = 200_000, 2_000_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
     """Whether a materialised table has at most so many rows, and those a total weight within BROADCAST_WEIGHT."""
+    known = rows_of(df)
+    if known is not None and (known > rows or weight is None):
+        return known <= rows
     r = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(weight if weight is not None else F.lit(0)).alias("w")).first()
     return r["n"] <= rows and (r["w"] or 0) <= BROADCAST_WEIGHT
 
