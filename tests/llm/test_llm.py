@@ -443,15 +443,19 @@ def test_line_quality(spark, odd, none):
 # 9 ---------------------------------------------------------------------------------------------------------------------
 
 
-def slow_line_drops(docs, hashes, min_words=3, near_words=10):
+def slow_line_drops(docs, hashes, min_words=1, near_words=10):
     cut = lambda x: tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)))
     lines = sorted({((i, hashes[t], k), cut(x)) for i, t in docs for k, x in enumerate((t or "").split("\n"))}, key=lambda x: x[0])
     first = {}
     for o, w in lines:
         first.setdefault(w, o)
     near = lambda a, b: abs(len(a) - len(b)) <= 1 and levenshtein(a, b) == 1
-    big = [w for w in first if len(w) >= near_words]
-    gone = {w for w in big if any(first[v] < first[w] and near(v, w) for v in big)}
+    stay, gone = [], set()
+    for w in sorted((w for w in first if len(w) >= near_words), key=first.get):
+        if any(near(v, w) for v in stay):
+            gone.add(w)
+        else:
+            stay.append(w)
     return {o for o, w in lines if len(w) >= min_words and (first[w] != o or w in gone)}
 
 
@@ -508,6 +512,23 @@ def test_shards_of_the_curve(spark, odd, none, law):
     assert hilbert.shard(odd, ["lang", "_key"], 3, law).count() == odd.count()
 
 
+def test_chains_of_near_lines(spark):
+    """Each line differs from the one before by one word: those next to one that stays go, the others stay."""
+    base = prose(77, 12).split()
+    chain = [" ".join(["X"] * k + base[k:]) for k in range(8)]
+    longer = [" ".join([*base, *(["Y"] * k)]) for k in range(1, 5)]
+    df = spark.createDataFrame(list(enumerate(chain + longer)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.deduplicated(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1, 8: 1, 9: 0, 10: 1, 11: 0}
+
+
+def test_very_long_near_lines(spark):
+    words = prose(78, 20_000).split()
+    docs = [(0, " ".join(words)), (1, " ".join([*words[:9000], "new", *words[9001:]])), (2, " ".join([*words[:15_000], "new", *words[15_000:]])), (3, " ".join(["p", "q", *words]))]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     """The shuffled ways give what the broadcast ways give."""
     from tidemark.llm import common
