@@ -58,28 +58,28 @@ def clear(spark: SparkSession, top: str | None = None) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Runs the plan once and cuts its lineage at files in the shared folder, so a lost executor recomputes nothing above it.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Runs the plan once into a Parquet table in the shared folder and returns that: a lost executor recomputes nothing above
+    it, and columns can be pruned when it is read again.
 
-    The rows are counted as they are written; `rows_of` then needs no job of its own.
+    Rows are counted as they are written; `rows_of` then needs no job of its own. A table's statistics are its files'
+    sizes; those of a checkpoint are its plan's estimates, which grow as products from join to join until planning stops.
     """
-    shared_dir(df.sparkSession)
-    seen = Observation()
-    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    path, seen = scratch(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._rows_written = seen.get["n"]
     return out
 
 
-def rows_of(df: DataFrame) -> int | None:
-    """The rows of what materialise returned; None for other frames."""
-    return getattr(df, "_rows_written", None)
+def materialise(df: DataFrame) -> DataFrame:
+    """stored, for a step of a plan."""
+    return stored(df, "step")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like materialise, as a Parquet table: columns can be pruned when it is read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def rows_of(df: DataFrame) -> int | None:
+    """The rows of what stored returned; None for other frames."""
+    return getattr(df, "_rows_written", None)
 
 
 @contextmanager
