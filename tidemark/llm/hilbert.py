@@ -1,12 +1,15 @@
 """Sharding along a Hilbert curve through several metadata dimensions.
 
-Each dimension is quantised to a few bits: numbers by quantiles of all rows, strings by a hash. The cell's index on the
-curve orders the rows; runs of that order are the shards, so a shard covers a compact region of all dimensions at once
-and its files' statistics prune by any of them. Rows of one group (equal texts) take the metadata of the group's first
-row and lie next to each other.
-
-DataFrame functions only. Null metadata has a bucket like any value; null text has size 1 (0 bytes plus 1) and is a
-group of its own; ties in everything are ordered by key and are interchangeable. An empty table gives an empty result.
+Each dimension is quantised to a few bits, in the order of its values: numbers by quantiles of all rows, other values by
+runs that begin at the most frequent ones. The cell's index on the curve orders the rows; runs of that order are the shards,
+so a shard covers a compact region of all dimensions at once and its files' least and greatest values prune by any of them.
+Rows of one group (equal texts) take the metadata of the group's first row and lie next to each other; a shard boundary may
+cut a group, as the laws `rows` and `bytes` ask for it.
+
+DataFrame functions only. Null metadata has the lowest bucket; null text has size 1 (0 bytes plus 1) and is a group of its
+own; very long texts leave the scan as their size and hashes; ties in everything are ordered by key and are
+interchangeable, repeated rows among them. An empty table gives an empty result. Other columns play no part, whatever their
+names; in write(), the placement takes the place of a column `shard`.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import joined, materialise, packed
 
 
 def curve_index(point: tuple[int, ...], bits: int) -> int:
@@ -49,7 +52,11 @@ def curve_index(point: tuple[int, ...], bits: int) -> int:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """Expressions of the buckets 0 .. 2^bits - 1 of each dimension; the driver gets 2^bits - 1 bounds for each number."""
+    """Expressions of the buckets 0 .. 2^bits - 1 of each dimension, in the order of its values; null is in the lowest.
+
+    The driver gets 2^bits - 1 bounds a dimension: quantiles of all rows for numbers; for other types the most frequent
+    values, each of which begins a bucket that ends before the next.
+    """
     sides = 1 << bits
     numbers = [d for d in dims if isinstance(df.schema[d].dataType, T.NumericType)]
     bounds = {}
@@ -59,18 +66,16 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
         bounds = {d: row[d] or [] for d in numbers}
     out = []
     for d in dims:
-        if d in bounds:
-            x = F.col(d).cast("double")
-            over = F.lit(0)
-            for b in bounds[d]:
-                over = over + F.coalesce((x > F.lit(b)).cast("int"), F.lit(0))
-            out.append(over)
-        else:
-            out.append(F.pmod(F.xxhash64(F.col(d).cast("string")), F.lit(sides)).cast("int"))
+        x = F.col(d).cast("double") if d in bounds else F.col(d).cast("string")
+        if d not in bounds:
+            often = df.filter(x.isNotNull()).groupBy(x.alias("_value")).count().orderBy(F.desc("count"), "_value").limit(sides - 1)
+            bounds[d] = [r["_value"] for r in often.collect()]
+        passed = [(x >= F.lit(b) if isinstance(b, str) else x > F.lit(b)).cast("int") for b in sorted(bounds[d])]
+        out.append(sum((F.coalesce(p, F.lit(0)) for p in passed), F.lit(0)))
     return out
 
 
-def hilbert_order(docs: DataFrame, dims: list[str], bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def hilbert_order(docs: DataFrame, dims: list[str], bits: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One narrow row a document, materialised, with its place: _part and _at give the order, _part first.
 
     The text is read once and leaves the scan as its size and hashes. The cells' table has 2^(bits * dims) rows, at
@@ -86,6 +91,7 @@ def hilbert_order(docs: DataFrame, dims: list[str], bits: int = 4, key: str = "d
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.when(F.col(text).isNull(), F.lit(-1)).otherwise(F.xxhash64(text)).alias("_group"),
     ))
+    group = ["_group", "text_crc32", "size"]
     names = [f"_d{i}" for i in range(len(dims))]
     cell = F.lit(0)
     for bucket in quantised(rows, names, bits):
@@ -93,10 +99,10 @@ def hilbert_order(docs: DataFrame, dims: list[str], bits: int = 4, key: str = "d
     rows = rows.withColumn("_cell", cell).drop(*names)
     # groups of several rows whose cells differ take that of their first row
     mixed = materialise(
-        rows.groupBy("_group").agg(F.min("_cell").alias("_a"), F.max("_cell").alias("_b"), F.min(F.struct("_key", "_cell")).alias("_first"))
-        .filter("_a <> _b").select("_group", F.col("_first._cell").alias("_shared"))
+        rows.groupBy(*group).agg(F.min("_cell").alias("_a"), F.max("_cell").alias("_b"), F.min(F.struct("_key", "_cell")).alias("_first"))
+        .filter("_a <> _b").select(*group, F.col("_first._cell").alias("_shared"))
     )
-    rows = rows.join(mixed, "_group", "left").withColumn("_cell", F.coalesce("_shared", "_cell")).drop("_shared")
+    rows = joined(rows, mixed, group, "left").withColumn("_cell", F.coalesce("_shared", "_cell")).drop("_shared")
     sides, cells = 1 << bits, []
     for c in range(sides ** len(dims)):
         point, rest = [], c
@@ -137,7 +143,7 @@ def cut(ordered: DataFrame, shards: int, law: str = "rows") -> DataFrame:
     return sized.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_rank") - F.col("_first")).drop("_rows", "_bytes", "_rank", "_first")
 
 
-def shard(docs: DataFrame, dims: list[str], shards: int, law: str = "rows", bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, dims: list[str], shards: int, law: str = "rows", bits: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot for each row of docs."""
     out = cut(hilbert_order(docs, dims, bits, key, text), shards, law)
     return out.select(key, "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.col("_curve").alias("curve"))
@@ -145,7 +151,9 @@ def shard(docs: DataFrame, dims: list[str], shards: int, law: str = "rows", bits
 
 def write(docs: DataFrame, placed: DataFrame, path: str, rows_per_file: int = 100_000, key: str = "doc_id") -> None:
     """docs, one row a key, into path/shard=K in curve order, several files a shard, each a run of the order."""
-    slots = placed.select(F.col(key), "shard", "slot", F.expr(f"slot div {rows_per_file}").alias("_file"))
+    slots = placed.select(F.col(key).alias("_k"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.expr(f"slot div {rows_per_file}").alias("_file"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.join(slots, key).repartitionByRange(n, "shard", "_file", "slot").sortWithinPartitions("shard", "slot")
-    rows.drop("_file", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    rows = packed(docs, _key=F.col(key)).join(slots, F.col("_key").eqNullSafe(F.col("_k")))
+    rows = rows.repartitionByRange(n, "_shard", "_file", "_slot").sortWithinPartitions("_shard", "_slot")
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "shard"]
+    rows.select(*columns, F.col("_shard").alias("shard")).write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
