@@ -2,7 +2,9 @@
 
 The trie is built on the driver from the rules, whose number is checked against a documented bound, and broadcast.
 Defined results: a null url, or one without "://", has an empty host and path, which no rule fits; repeated rows are
-judged alike; a url that no rule fits gets the default verdict.
+judged alike; a url that no rule fits gets the default verdict; rules of equal length are settled by block before allow.
+Very long urls are matched whole, in time proportional to their length. An empty table gives an empty result. Other columns
+stay as they are, whatever their names, but for host, path, rule and verdict, which the result's take the place of.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, packed
+
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -107,8 +111,9 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = ALLOW, url: str =
             rows.append((host, path, rule.text if rule else None, rule.verdict if rule else default))
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
 
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.select(*kept, judged(F.col(url)).alias("_j")).select(*kept, "_j.*")
+    bounded_batches(pages.sparkSession)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return packed(pages, _judged=judged(F.col(url))).select(*kept, "_judged.*")
 
 
 def rules_from(allow: Iterable[str] = (), block: Iterable[str] = ()) -> list[Rule]:
