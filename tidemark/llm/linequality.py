@@ -5,12 +5,15 @@ chain's two-by-two transitions tie neighbours together. The field is trained on
 the document's label, by gradient ascent of the conditional likelihood (forward-backward). A document's score is the
 mean of its lines' marginal probabilities of good, weighted by the lines' lengths.
 
-Training takes at most MOST_TRAINED labelled documents, those of least hash of their key, so the choice doesn't depend on
-the layout; their line features are computed on the executors and only those reach the driver. Scoring is a map over
-the rows of all documents and whole texts.
-
-Null and empty texts are one empty line, which has a score like any line. Labels without a document, and null labels,
-teach nothing; of several labels of a document the largest counts. Without any label of either kind every score is 0.5.
+Training takes a bounded sample: at most MOST_TRAINED labelled documents, those of least hash of their key, so the choice
+doesn't depend on the layout; of these, documents of more than MOST_LINES / 100 lines are left out, and the others are taken
+as long as their lines are MOST_LINES at most together. Their line features are computed on the executors and only those
+reach the driver: some 60 bytes a line. Scoring is a map over the rows of all documents and whole texts.
+
+Null and empty texts are one empty line, which has a score like any line; very long texts are scored whole, in memory
+proportional to the text. Labels without a document, and null labels, teach nothing; of several labels of a document the
+largest counts; an empty table of labels, or labels of one kind only, teach nothing, and then every score is 0.5. Repeated
+rows score alike; an empty table of documents gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, stored
 
-MOST_TRAINED = 4000
+MOST_TRAINED, MOST_LINES = 4000, 200_000
 
 #: Byte classes: 0 others, 1 small letters and beyond ASCII, 2 capitals, 3 digits, 4 symbols, 5 exclamation, 6 other
 #: punctuation, 7 white space.
@@ -174,21 +177,22 @@ def train(chains: list[np.ndarray], labels: list[int], rounds: int = 120, rate:
     return Chain(theta[:-4], theta[-4:].reshape(2, 2), mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, key: str = "doc_id", text: str = "text", label: str = "quality") -> Chain | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, most_lines: int = MOST_LINES, key: str = "doc_id", text: str = "text", label: str = "quality") -> Chain | None:
     """A chain from labelled documents; None if labels of one of the two kinds are missing."""
-    chosen = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_k"), "_k").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_k", "_label", F.col(text).alias("_t"))
+    chosen = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_c")).agg(F.max(label).cast("int").alias("_label"))
+    chosen = chosen.orderBy(F.xxhash64("_c"), "_c").limit(most)
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    rows = rows.join(F.broadcast(chosen), F.col("_k") == F.col("_c")).select("_k", "_label", "_t", F.size(F.split(F.coalesce("_t", F.lit("")), "\n", -1)).alias("_lines"))
+    rows = rows.filter(F.col("_lines") <= max(most_lines // 100, 1))
 
     def make():
-        def run(keys, marks, texts):
-            return keys, marks, [line_features(t)[0].astype(np.float32).tobytes() for t in texts]
-
-        return run
+        return lambda keys, marks, texts: (keys, marks, [line_features(t)[0].astype(np.float32).tobytes() for t in texts])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = map_rows(rows, ["_k", "_label", "_t"], make, f"_k {kind}, _label int, own binary").collect()
-    got.sort(key=lambda r: (r["_k"], bytes(r["own"])))
+    made = stored(map_rows(rows, ["_k", "_label", "_t"], make, f"_k {kind}, _label int, own binary"), "line-features")
+    so_far = Window.orderBy(F.xxhash64("_k"), "_k", "own")  # over at most a few thousand rows
+    made = made.withColumn("_so_far", F.sum(F.length("own")).over(so_far)).filter(F.col("_so_far") <= most_lines * OWN * 4)
+    got = sorted(made.collect(), key=lambda r: (r["_k"], bytes(r["own"])))
     if len({r["_label"] for r in got}) < 2:
         return None
     return train([with_neighbours(np.frombuffer(bytes(r["own"]), np.float32).reshape(-1, OWN).astype(float)) for r in got], [r["_label"] for r in got])
