@@ -85,6 +85,32 @@ def test_formats_and_links():
     assert len(two[1]) in (0, 2)
 
 
+@pytest.mark.parametrize("same", [
+    ("+44 2079460958", "+442079460958", "+44 20 7946 0958", "+44 (20) 7946-0958"), ("(212) 555-0100", "+1 212-555-0100", "+12125550100", "212.555.0100"),
+    ("3/7/1985", "03/07/1985"), ("2024/5/1", "2024/05/01"), ("Ann.Lee@gmail.com", "ann.lee@gmail.com", "ANN.LEE@GMAIL.COM"),
+    ("2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8::1"),
+])
+def test_other_ways_to_write_a_value_link(same):
+    of = pii.Pseudonyms(b"key")
+    plain = lambda v: re.sub(r"(?<!\d)0+(?=\d)|(?<=^2)12(?=555)|[^0-9A-Za-z]", "", v).lower()
+    new = [of(v)[0] for v in same]
+    assert all(n != v for n, v in zip(new, same, strict=True))
+    if ":" in same[0]:
+        import ipaddress
+
+        assert len({ipaddress.ip_address(n) for n in new}) == 1
+    else:
+        assert len({plain(n)[-9:] for n in new}) == 1
+
+
+def test_what_is_no_value():
+    of = pii.Pseudonyms(b"key")
+    for clean in ("1232810148878564", "12:30:45", "std::vector", "1/2/3", "2024-13-01", "2024-1/2", "99/99/2020", "chapter 3.14.159", "4465758382889438", "+12", "::", "a::b"):
+        assert of(clean) == (clean, []), clean
+    assert of("sk-abcdefghijabcdefghijabcd")[1] and of("jane@janesmith.com")[0].split("@")[1] != "janesmith.com"
+    assert of("x@shop.co.uk")[0].endswith(".co.uk") and of("+4915112345678")[1][0][0] == "phone"
+
+
 def test_pseudonyms_of_odd_rows(odd, none):
     rows = pii.pseudonymised(odd, b"k").collect()
     assert sorted((r["doc_id"], r["text"] or "") for r in rows) == sorted((r["doc_id"], r["text"] or "") for r in odd.collect())
@@ -230,6 +256,80 @@ def test_quality_rules(spark, odd, none):
     assert quality.keep(odd).columns == odd.columns and quality.keep(none).count() == 0
 
 
+def plain_em(rows, kinds, rounds=200):
+    """EM document by document, without a combination table: votes are -1, 0, 1."""
+    classes = sorted(set(kinds))
+    share = [quality.SHARE] + [(1 - quality.SHARE) / len(classes)] * len(classes)
+    belief = [[quality.FALSE_ALARM] + [quality.DETECTION if k == c else quality.FALSE_ALARM for c in classes] for k in kinds]
+    now_share, rate = share, belief
+    for _ in range(rounds):
+        posts = []
+        for row in rows:
+            odds = []
+            for c in range(len(share)):
+                x = now_share[c]
+                for v, r in zip(row, rate, strict=True):
+                    x *= r[c] if v < 0 else 1 - r[c] if v > 0 else 1
+                odds.append(x)
+            posts.append([x / sum(odds) for x in odds])
+        w = quality.WEIGHT
+        rate = [[(sum(p[c] for p, row in zip(posts, rows, strict=True) if row[k] < 0) + w * belief[k][c]) / (sum(p[c] for p, row in zip(posts, rows, strict=True) if row[k]) + w) for c in range(len(share))] for k in range(len(kinds))]
+        now_share = [(sum(p[c] for p in posts) + w * share[c]) / (len(rows) + w) for c in range(len(share))]
+    return now_share, rate, [p[0] for p in posts]
+
+
+def cast_votes(kinds, n, seed, random_rule=None):
+    """Votes of rules that see their kind of junk in 0.85 of cases and raise 0.03 false alarms; one may vote at random."""
+    r = random.Random(seed)
+    rows, truth = [], []
+    for _ in range(n):
+        kind = r.choice(sorted(set(kinds))) if r.random() < 0.15 else None
+        truth.append(kind is None)
+        rows.append(tuple(0 if r.random() < 0.1 else -1 if r.random() < (0.3 if i == random_rule else 0.85 if k == kind else 0.03) else 1 for i, k in enumerate(kinds)))
+    return rows, truth
+
+
+def as_patterns(rows):
+    return ["".join("b-g"[v + 1] for v in row) for row in rows]
+
+
+def test_em_against_a_plain_one():
+    from collections import Counter
+
+    kinds = ["a", "a", "a", "b", "b", "b"]
+    rows, truth = cast_votes(kinds, 400, 3)
+    rules = [quality.Rule(f"r{i}", k, lambda c: 0) for i, k in enumerate(kinds)]
+    model = quality.fit(Counter(as_patterns(rows)), rules)
+    share, rate, good = plain_em(rows, kinds)
+    assert model.shares == pytest.approx(share, abs=1e-4) and model.alarms == pytest.approx(np.array(rate), abs=1e-4)
+    assert model.posterior(as_patterns(rows)) == pytest.approx(good, abs=1e-4)
+    assert sum((p >= 0.5) == t for p, t in zip(good, truth, strict=True)) >= 0.95 * len(rows)
+
+
+def test_em_lowers_a_bad_rule_and_outvotes_it():
+    from collections import Counter
+
+    kinds = ["a", "a", "a", "b", "b", "b"]
+    rows, truth = cast_votes(kinds, 4000, 4, random_rule=2)
+    rules = [quality.Rule(f"r{i}", k, lambda c: 0) for i, k in enumerate(kinds)]
+    model = quality.fit(Counter(as_patterns(rows)), rules)
+    assert abs(model.alarms[2, 0] - 0.3) < 0.05  # found to vote bad on good documents
+    assert model.alarms[0, 0] < 0.06 and model.alarms[0, 1] > 0.7
+    alone, agreed = model.posterior(["ggbggg", "bbgggg"])
+    assert alone > 0.9 and agreed < 0.5
+    p = model.posterior(as_patterns(rows))
+    assert sum((x >= 0.5) == t for x, t in zip(p, truth, strict=True)) >= 0.95 * len(rows)
+
+
+def test_beliefs_fade():
+    rules = [quality.Rule(f"r{i}", "a", lambda c: 0) for i in range(3)]
+    votes = {"ggg": 80, "bbg": 10, "ggb": 10}
+    few, many = quality.fit(votes, rules), quality.fit({k: 100 * n for k, n in votes.items()}, rules)
+    share = lambda m: sum(n * p for n, p in zip(votes.values(), m.posterior(list(votes)), strict=True)) / 100
+    assert abs(many.shares[0] - share(many)) < 0.002 < abs(few.shares[0] - share(few)) + 0.002
+    assert abs(many.alarms[2, 0] - 10 / 90) < 0.01
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -406,6 +506,50 @@ def test_near_duplicates_at_the_threshold(spark):
     assert len({got[len(texts) - i] for i in (1, 2, 3)}) == 1
 
 
+def edited(r, ws, n):
+    out = ws[:]
+    for _ in range(n):
+        kind, i = r.random(), r.randrange(len(out))
+        if kind < 0.6:
+            out[i] = r.getrandbits(63)
+        elif kind < 0.8:
+            out.insert(i, r.getrandbits(63))
+        else:
+            out.pop(i)
+    return out
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.97), (0.85, 0.99), (0.9, 0.99)])
+@pytest.mark.parametrize("n", [30, 60, 200, 1000])
+def test_recall_by_band(n, similarity, least):
+    """Texts of n words with that share of scattered edits meet in a bucket."""
+    r, met = random.Random(n), 0
+    for _ in range(150):
+        a = [r.getrandbits(63) for _ in range(n)]
+        b = edited(r, a, int((1 - similarity) * n + 1e-9))
+        met += bool(set(neardup.buckets_of(np.array(a, np.uint64))) & set(neardup.buckets_of(np.array(b, np.uint64))))
+    assert met >= least * 150
+
+
+def test_passages_are_sketched_again(spark, monkeypatch):
+    """Many texts around one passage, and near pairs among them: found when buckets are wide, by k-mers outside the passage."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = [" ".join(passage + [word() for _ in range(60)]) for _ in range(60)]
+    least = list(range(60))
+    for _ in range(10):
+        own = [word() for _ in range(60)]
+        texts += [" ".join(passage + own), " ".join(passage + [word() if i % 12 == 0 else x for i, x in enumerate(own)])]
+        least += [len(texts) - 2] * 2
+    calls, again = [], neardup.without_passages
+    monkeypatch.setattr(neardup, "without_passages", lambda *a: calls.append(1) or again(*a))
+    monkeypatch.setattr(neardup, "CROSS", 4)
+    monkeypatch.setattr(neardup, "HOT", 3)
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(table(spark, texts)).collect()}
+    assert calls and [got[i] for i in range(len(texts))] == least
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -440,6 +584,21 @@ def test_line_quality(spark, odd, none):
     assert {r["score"] for r in linequality.scored(odd, None).collect()} == {0.5}
 
 
+def test_mixed_documents_score_between(spark):
+    good = lambda k: prose(k, 12).capitalize() + "."
+    bad = lambda k: " ".join(w + "###" for w in prose(k, 12).split())
+    texts = ["\n".join(good(10 * k + j) for j in range(6)) for k in range(60)] + ["\n".join(bad(10 * k + j) for j in range(6)) for k in range(60, 100)]
+    docs = table(spark, texts)
+    model = linequality.fit(docs, spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id bigint, quality int"))
+    mixed = ["\n".join([good(5000 + k) for k in range(m)] + [bad(6000 + k) for k in range(6 - m)]) for m in range(7)]
+    scores = [r["score"] for r in sorted(linequality.scored(table(spark, mixed), model).collect(), key=lambda r: r["doc_id"])]
+    assert scores == sorted(scores) and scores[0] < 0.1 < scores[2] < scores[4] < 0.9 < scores[6]
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert linequality.fit(docs, none) is None and linequality.fit(docs.filter("false"), none) is None
+    short = linequality.fit(docs, spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id bigint, quality int"), most_lines=60 * 100)
+    assert short is not None
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -512,6 +671,65 @@ def test_shards_of_the_curve(spark, odd, none, law):
     assert hilbert.shard(odd, ["lang", "_key"], 3, law).count() == odd.count()
 
 
+INTERNAL = """_row _key _hash _k _c _t _h _g _a _b _w _x _v _u _i _j _o _id _pos _at _n _s _label _lines _judged _group _cell _part _curve _rank
+_shard _slot _file _shared _value _words _drop _text _failed _good tid node root bucket buckets votes base_failed shard slot size law curve text_crc32
+host path rule verdict score class_id class_size n_words n_lines n_dropped kept key start""".split()
+
+
+def test_no_column_of_docs_clashes(spark, tmp_path):
+    """Every operator over a table with columns named as any operator's own."""
+    texts = ["http://a.net/x " + prose(k // 2, 60) + "\n" + prose(3, 12) for k in range(8)] + [None, ""]
+    plain = table(spark, texts)
+    docs = plain.withColumns({c: F.lit("clash") for c in INTERNAL})
+    labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(8)], "doc_id bigint, quality int, _k string")
+    bench = spark.createDataFrame([(1, prose(0, 20), "clash")], "item_id bigint, text string, _item string")
+    held = lambda f: [sorted(map(str, f(d).collect())) for d in (plain, docs)]
+    dims = ["lang", "source", "n_chars"]
+    for f in (
+        lambda d: pii.pseudonymised(d, b"k"), lambda d: shards.read_shards(d, shards.write_shards(d, WORDS)), lambda d: bpe.digests(d, BYTES, P.PATTERN), quality.judged,
+        lambda d: decontaminate.report(d, bench), lambda d: decontaminate.report(d, bench, most_broadcast=0), neardup.classes, lambda d: linequality.scored(d, linequality.fit(d, labels)),
+        lambda d: hilbert.shard(d, dims, 3), lambda d: urls.judge(d, urls.rules_from(block=["net/"]), url="text").select("doc_id", "host", "path", "rule", "verdict"),
+        lambda d: linededup.deduplicated(d).select("doc_id", "text", "n_lines", "n_dropped"), lambda d: linededup.clean(d).select("doc_id", "text"),
+        lambda d: quality.keep(d).select("doc_id"), lambda d: decontaminate.clean(d, bench).select("doc_id"), lambda d: neardup.first_of_each(d).select("doc_id"),
+    ):
+        a, b = held(f)
+        assert a == b
+    hilbert.write(docs, hilbert.shard(docs, dims, 3), str(tmp_path / "out"), rows_per_file=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 10 and set(back.columns) == set(docs.columns) and back.select("shard").distinct().count() == 3
+    for f in (quality.keep, linededup.clean, neardup.first_of_each, lambda d: decontaminate.clean(d, bench)):
+        assert f(docs).columns == docs.columns
+
+
+def test_string_axes_keep_their_order(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 20:02d}") for i in range(400)], "doc_id bigint, text string, source string")
+    bucket = hilbert.quantised(docs, ["source"], 5)[0]
+    got = dict(docs.select("source", bucket.alias("b")).distinct().collect())
+    assert len(set(got.values())) == 20 and sorted(got, key=got.get) == sorted(got)
+
+
+def test_parts_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(40)), "t": ["x" * (common.PART_BYTES // 3)] * 10 + [None] * 10 + ["y" * common.PART_BYTES * 2] + [""] * 19})
+    parts = list(common._parts(batch))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(40))
+    assert all(p.nbytes <= 1.1 * common.PART_BYTES or p.num_rows == 1 for p in parts) and len(parts) < 10
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from tidemark.llm import common
+
+    session = lambda master: N(conf=N(get=lambda *a: None), sparkContext=N(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None))
+    assert common.shared_dir(session("local[4]")) == common.LOCAL_DIR
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(session("yarn"))
+
+
 def test_chains_of_near_lines(spark):
     """Each line differs from the one before by one word: those next to one that stays go, the others stay."""
     base = prose(77, 12).split()
