@@ -12,6 +12,7 @@ from .functions import cross_section as cs
 from .functions import time_series as ts
 from .operators import books, folds, judge, models, selection, transforms
 from .sources import panels
+from .sources.scratch import written
 
 CS_FOLDS = folds.WalkForward(start=dt.date(1995, 1, 1), first_test_year=1998, embargo=1)
 TS_FOLDS = folds.WalkForward(start=dt.date(1995, 1, 1), first_test_year=1999, embargo=5, mode="expanding", entry="date")
@@ -24,8 +25,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, d: str) -> DataFrame:
-    panel = panels.ranked_panel(spark, d)
-    return folds.dealt(panel, folds.collected(folds.make_folds(panels.cs_panel(spark, d), CS_FOLDS), CS_FOLDS), CS_FOLDS)
+    """The ranked panel dealt to folds. It is written once, narrow: a fit reads it three times and more."""
+    panel = written(panels.ranked_panel(spark, d))
+    return folds.dealt(panel, folds.collected(folds.make_folds(panel, CS_FOLDS), CS_FOLDS), CS_FOLDS)
 
 
 def _preds(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +36,7 @@ def _preds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ts_dealt(spark: SparkSession, d: str) -> DataFrame:
-    panel = panels.ts_panel(spark, d)
+    panel = written(panels.ts_panel(spark, d))
     return folds.dealt(panel, folds.collected(folds.make_folds(panel, TS_FOLDS), TS_FOLDS), TS_FOLDS)
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cross_section import rank_of_rows
+from ..sources.scratch import written
 
 
 def out_of_sample(preds: DataFrame) -> DataFrame:
@@ -22,22 +25,49 @@ def fold_standardised(preds: DataFrame) -> DataFrame:
     return out_of_sample(preds).join(F.broadcast(train), "fold", "left").withColumn("pred", z).drop("_mu", "_sd")
 
 
+#: Predictions of a pool that a bin should hold, and bins at most.
+PER_BIN, MOST_BINS = 16, 2048
+
+
+def _passed(x: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted edges are at most x, looked for in two steps of about sqrt(len(edges)) comparisons."""
+    if not edges:
+        return F.lit(0)
+    step = math.isqrt(len(edges) - 1) + 1
+    listed = lambda values: F.array(*map(F.lit, values)).cast("array<double>")
+    whole = F.size(F.filter(listed(edges[step - 1 :: step]), lambda e: e <= x)) * step
+    return whole + F.size(F.filter(F.slice(listed(edges), whole + 1, F.lit(step)), lambda e: e <= x))
+
+
 def trailing_pct(rows: DataFrame, date: str = "t0", pool_days: int = 91, min_pool: int = 1, pred: str = "pred") -> DataFrame:
     """rows with pct: the mid-rank of pred among those dated in [date - pool_days, date); null if too few or unknown.
 
-    Predictions are gathered by date; a date meets the dates before it through buckets of pool_days (two a date, an
-    equi-join), which gives each date its sorted pool once, and each row counts in its date's pool. Rows of different
-    dates never meet one by one.
+    Values are cut into bins of about equal counts. A table of dates and bins, bounded by time and not by rows, tells by
+    running sums how many predictions of a date's pool fall into lower bins. Only those of a row's own bin, some PER_BIN
+    of its pool, are met one by one, through buckets of pool_days (two a date, an equi-join).
     """
-    days = rows.filter(F.col(pred).isNotNull()).groupBy(F.col(date).alias("_d")).agg(F.collect_list(pred).alias("_v"))
-    bucket = F.floor(F.unix_date("_d") / pool_days)
-    left = rows.select(F.col(date).alias("_d")).distinct().select("_d", F.explode(F.array(bucket, bucket - 1)).alias("_b"))
-    right = days.select(bucket.alias("_b"), F.col("_d").alias("_e"), "_v")
-    near = left.join(right, "_b").filter((F.col("_e") < F.col("_d")) & (F.col("_e") >= F.date_sub("_d", pool_days)))
-    pools = near.groupBy("_d").agg(F.flatten(F.collect_list("_v")).alias("_pool")).filter(F.size("_pool") >= max(min_pool, 1))
-    out = rows.join(pools, rows[date] == pools["_d"], "left")
-    below = F.size(F.filter("_pool", lambda x: x < F.col(pred))) + F.size(F.filter("_pool", lambda x: x <= F.col(pred)))
-    return out.withColumn("pct", F.when(F.col(pred).isNotNull() & F.col("_pool").isNotNull(), below / (2 * F.size("_pool")))).drop("_d", "_pool")
+    known = rows.filter(F.col(pred).isNotNull()).select(F.col(date).alias("_d"), F.col(pred).cast("double").alias("_x"))
+    seen = written(known.groupBy("_d", "_x").agg(F.count("*").alias("_n")))
+    n, days = seen.agg(F.sum("_n"), F.datediff(F.max("_d"), F.min("_d")) + 1).first()
+    bins = int(min(MOST_BINS, max(1, (n or 0) * min(1.0, pool_days / (days or 1)) // PER_BIN)))
+    shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    cuts = seen.agg(F.percentile_approx("_x", shares, F.lit(20 * bins))).first()[0] if bins > 1 and n else []
+    edges = sorted(set(cuts))
+    binned = written(seen.withColumns({"_b": _passed(F.col("_x"), edges).cast("int"), "_t": F.unix_date("_d")}))
+    # how many of a date's pool fall into each bin, then into those below it
+    grid = seen.select("_d").distinct().select("_d", F.unix_date("_d").alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("_b"))
+    table = grid.join(binned.groupBy("_d", "_b").agg(F.sum("_n").alias("_n")), ["_d", "_b"], "left")
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy("_t").rangeBetween(-pool_days, -1)), F.lit(0))
+    whole, lower = Window.partitionBy("_d"), Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.withColumn("_in", inside).select("_d", "_b", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_lower"), F.sum("_in").over(whole).alias("_pool"))
+    bucket = F.floor(F.col("_t") / pool_days)
+    asked = binned.select("_d", "_x", "_b", "_t", F.explode(F.array(bucket, bucket - 1)).alias("_k"))
+    held = binned.select("_b", bucket.alias("_k"), F.col("_t").alias("_u"), F.col("_x").alias("_y"), F.col("_n").alias("_m"))
+    near = asked.join(held, ["_b", "_k"]).filter((F.col("_u") < F.col("_t")) & (F.col("_u") >= F.col("_t") - pool_days) & (F.col("_y") <= F.col("_x")))
+    own = near.groupBy("_d", "_x").agg(F.sum(F.when(F.col("_y") < F.col("_x"), 2 * F.col("_m")).otherwise(F.col("_m"))).alias("_own"))
+    placed = binned.join(table, ["_d", "_b"]).join(own, ["_d", "_x"], "left").filter(F.col("_pool") >= max(min_pool, 1))
+    placed = placed.select("_d", "_x", ((2 * F.col("_lower") + F.coalesce("_own", F.lit(0))) / (2 * F.col("_pool"))).alias("pct"))
+    return rows.join(placed, (rows[date] == placed["_d"]) & (rows[pred].cast("double") == placed["_x"]), "left").drop("_d", "_x")
 
 
 def quantile_book(preds: DataFrame, frame: DataFrame, keys: Sequence[str] = ("root", "t0"), q: float = 0.1, date: str = "t0", pool_days: int = 0, min_pool: int = 0, standardise: bool = True) -> DataFrame:
@@ -118,34 +148,47 @@ def active(book: DataFrame, benchmark: DataFrame, date: str = "date") -> DataFra
 def sizes(preds: DataFrame, rule: str = "rank", entry: str = "t0", cap: float = 2.0) -> DataFrame:
     """entry, pred, w for out-of-sample rows, from earlier predictions only.
 
-    A row's history is its fold's training predictions and all earlier out-of-sample ones (direct: its fold's only),
-    gathered by one ordered window: one series, a few thousand trades.
+    A row's history is its fold's training predictions and all earlier out-of-sample ones (direct: its fold's only). The
+    rows are one series, bounded by time; a single task goes through it in order beside a sorted history, in which each
+    weight is a binary search.
     """
-    test = out_of_sample(preds).select(entry, "pred", "fold")
-    train = preds.filter("is_train").groupBy("fold").agg(F.collect_list("pred").alias("_train"))
-    over = Window.partitionBy("fold") if rule == "direct" else Window.partitionBy()
-    past = F.collect_list("pred").over(over.orderBy("fold", entry).rowsBetween(Window.unboundedPreceding, -1))
-    rows = test.withColumn("_past", past).join(F.broadcast(train), "fold", "left")
-    rows = rows.withColumn("_h", F.concat(F.coalesce("_train", F.array().cast("array<double>")), "_past"))
-    n, x = F.size("_h"), F.col("pred")
-    share = F.when(n > 0, F.size(F.filter("_h", lambda h: h < x)) / n).otherwise(0.5)
-    if rule == "constant":
-        w = F.lit(1.0)
-    elif rule == "rank":
-        w = 2 * share
-    elif rule == "tercile":
-        w = F.when(share < 1 / 3, 0.0).when(share < 2 / 3, 1.0).otherwise(2.0)
-    elif rule == "inverse":
-        rows = rows.withColumn("_s", F.array_sort("_h"))
-        middle = (F.get("_s", F.floor((n - 1) / 2).cast("int")) + F.get("_s", F.floor(n / 2).cast("int"))) / 2
-        rows = rows.withColumn("_med", F.when(n > 0, middle).otherwise(x))
-        w = F.when((x > 0) & (F.col("_med") > 0), F.least(F.greatest(F.try_divide(F.col("_med"), x), F.lit(0.0)), F.lit(cap))).otherwise(1.0)
-    elif rule == "direct":
-        mean = F.try_divide(F.aggregate(F.transform("_h", lambda h: F.greatest(h, F.lit(0.0))), F.lit(0.0), lambda a, h: a + h), n)
-        w = F.least(F.try_divide(F.greatest(x, F.lit(0.0)), F.when(mean > 0, mean).otherwise(1.0)), F.lit(cap))
-    else:
+    if rule not in ("constant", "rank", "tercile", "inverse", "direct"):
         raise ValueError(f"no such rule: {rule}")
-    return rows.select(entry, "pred", w.alias("w"))
+    if rule == "constant":
+        return out_of_sample(preds).select(entry, "pred", F.lit(1.0).alias("w"))
+
+    def weight(x: float, history: list[float], up: float) -> float:
+        n = len(history)
+        if rule == "direct":
+            return min(max(x, 0.0) / (up / n if n and up > 0 else 1.0), cap)
+        if rule == "inverse":
+            middle = (history[(n - 1) // 2] + history[n // 2]) / 2 if n else x
+            return min(max(middle / x, 0.0), cap) if x > 0 and middle > 0 else 1.0
+        share = bisect_left(history, x) / n if n else 0.5
+        return 2 * share if rule == "rank" else 0.0 if share < 1 / 3 else 1.0 if share < 2 / 3 else 2.0
+
+    def walk(series):
+        earlier: list[float] = []
+        out = []
+        for _, part in series.sort_values(["fold", entry], kind="stable").groupby("fold", sort=True):
+            trained = part["pred"][part["is_train"]].dropna().tolist()
+            history = sorted(trained if rule == "direct" else trained + earlier)
+            up = sum(max(h, 0.0) for h in history)
+            test = part[~part["is_train"]]
+            weights = []
+            for x in test["pred"].tolist():
+                weights.append(weight(x, history, up))
+                insort(history, x)
+                up += max(x, 0.0)
+            earlier += test["pred"].tolist()
+            out.append(test[[entry, "pred"]].assign(w=weights))
+        import pandas as pd
+
+        return pd.concat(out, ignore_index=True) if out else series[[entry, "pred"]].assign(w=0.0).iloc[:0]
+
+    kind = preds.schema[entry].dataType.simpleString()
+    rows = preds.select("fold", entry, F.col("pred").cast("double").alias("pred"), "is_train").filter("pred is not null")
+    return rows.groupBy().applyInPandas(walk, f"`{entry}` {kind}, pred double, w double")
 
 
 def path_pnl(trades: DataFrame, weights: DataFrame, entry: str = "t0", date: str = "date", pnl: str = "pnl", weight: str = "w", unit: str | None = None, scale: float = 1.0) -> DataFrame:

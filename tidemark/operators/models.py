@@ -106,19 +106,31 @@ QUANTILES = tuple(round(0.1 * k, 1) for k in range(1, 10))
 def rule(rows: DataFrame, features: Sequence[str], ret: str = "y", position: float = -1.0, quantiles: Sequence[float] = QUANTILES, min_on: float = 0.2, margin: float | str = 0.0, periods: int = 252, fill: float = 0.5) -> DataFrame:
     """A row a fold: input (-1: always in), threshold, above, sharpe, always, best, margin, candidates.
 
-    Every threshold of every input on either side is a candidate; all are scored in one aggregate over the training rows
-    times candidates (a few dozen, broadcast). The best replaces being always in only if it beats it by the margin.
+    Every threshold of every input on either side is a candidate. A row is summed once an input, at its place among the
+    thresholds; candidates then add up places. The best replaces being always in only if it beats it by the margin.
     """
     fit = rows.filter(F.col("is_train") & finite(ret).isNotNull()).select("fold", (finite(ret) * position).alias("_r"), *[_x(f, fill).alias(f"_x{i}") for i, f in enumerate(features)])
     cuts = fit.groupBy("fold").agg(*[F.percentile(f"_x{i}", F.array(*[F.lit(float(q)) for q in quantiles])).alias(f"_q{i}") for i in range(len(features))])
-    each = F.array(*[F.struct(F.lit(i).alias("input"), F.lit(k).alias("k"), F.get(f"_q{i}", F.lit(k)).alias("t"), F.lit(side).alias("above")) for i in range(len(features)) for k in range(len(quantiles)) for side in (True, False)])
-    cands = cuts.select("fold", F.explode(each).alias("c")).select("fold", "c.*")
-    x = F.coalesce(*[F.when(F.col("input") == i, F.col(f"_x{i}")) for i in range(len(features))])
-    on = F.when(F.col("above"), x > F.col("t")).otherwise(x < F.col("t"))
-    pnl = F.when(on, F.col("_r")).otherwise(0.0)
-    sharpe = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c)) * F.lit(float(np.sqrt(periods)))
-    scored = fit.join(F.broadcast(cands), "fold").groupBy("fold", "input", "k", "t", "above").agg(F.avg(on.cast("double")).alias("share"), sharpe(pnl).alias("sharpe"))
+    cuts = fit.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # a row a fold
+    root = F.lit(float(np.sqrt(periods)))
+    sharpe = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c)) * root
     always = fit.groupBy("fold").agg(sharpe(F.col("_r")).alias("always"), F.count("*").alias("_n"))
+    # where each value lies among its fold's thresholds: how many are below it, and how many not above it
+
+    def place(i: int) -> Column:
+        x, edges = F.col(f"_x{i}"), F.col(f"_q{i}")
+        return F.struct(F.lit(i).alias("input"), F.size(F.filter(edges, lambda t: t < x)).alias("a"), F.size(F.filter(edges, lambda t: t <= x)).alias("b"))
+
+    places = [place(i) for i in range(len(features))]
+    placed = fit.join(F.broadcast(cuts), "fold").select("fold", "_r", F.explode(F.array(*places)).alias("c")).select("fold", "_r", "c.*")
+    sums = placed.groupBy("fold", "input", "a", "b").agg(F.count("*").alias("n"), F.sum("_r").alias("s"), F.sum(F.col("_r") * F.col("_r")).alias("q"))
+    each = F.array(*[F.struct(F.lit(i).alias("input"), F.lit(k).alias("k"), F.get(f"_q{i}", F.lit(k)).alias("t"), F.lit(above).alias("above")) for i in range(len(features)) for k in range(len(quantiles)) for above in (True, False)])
+    cands = cuts.select("fold", F.explode(each).alias("c")).select("fold", "c.*")
+    on = F.when(F.col("above"), F.col("a") > F.col("k")).otherwise(F.col("b") <= F.col("k"))
+    total = lambda c: F.sum(F.when(on, F.col(c)).otherwise(0))
+    scored = sums.join(F.broadcast(cands), ["fold", "input"]).groupBy("fold", "input", "k", "t", "above").agg(F.sum("n").alias("_all"), total("n").alias("_on"), total("s").alias("_s"), total("q").alias("_q"))
+    spread = F.try_divide(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_all"), F.col("_all") - 1)  # off is a return of nought
+    scored = scored.select("fold", "input", "k", "t", "above", (F.col("_on") / F.col("_all")).alias("share"), F.when(spread > 1e-300, F.col("_s") / F.col("_all") / F.sqrt(spread) * root).alias("sharpe"))
     kept = scored.filter(F.col("share") >= min_on)
     # first of equals: by input, then quantile, above before below
     best = kept.groupBy("fold").agg(F.count("*").alias("_k"), F.max_by(F.struct("input", "t", "above", "sharpe"), F.struct("sharpe", -F.col("input"), -F.col("k"), "above")).alias("b"))
