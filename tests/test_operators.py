@@ -212,15 +212,46 @@ def test_series_statistics(spark):
 
 def test_scalars():
     assert judge.mde_sharpe(5) == pytest.approx(3.418 / math.sqrt(5), abs=1e-3) and judge.mde_ic(0.15, 60) == pytest.approx(3.418 * 0.15 / math.sqrt(60), abs=1e-3)
-    assert judge.deflated_sharpe([1.0], 1000)["dsr"] == pytest.approx(0.9766, abs=5e-4)
-    y = {d: float(i % 7) for i, d in enumerate(D[:40])}
-    a = judge.factor_attribution({d: v / 2 for d, v in y.items()}, {"m": y})
-    assert (a["alpha_per_period"], a["betas"]["m"]["beta"], a["r2"]) == pytest.approx((0, 0.5, 1))
+    assert judge.deflated_sharpe([1.0], 1000).probability == pytest.approx(0.9766, abs=5e-4)
     assert judge.bootstrap(np.ones(50) + np.arange(50) % 2)["p_mean_le_0"] == 0
     with pytest.raises(ValueError, match="fewer than a block"):
         judge.bootstrap(np.arange(5.0))
 
 
+def test_attribution(spark):
+    half = spark.createDataFrame([(d, (i % 7) / 2, float(i % 7)) for i, d in enumerate(D[:40])], "date date, y double, m double")
+    got = {r["term"]: r for r in judge.attribution(half, "y", ["m"]).collect()}
+    assert (got["alpha"]["coef"], got["m"]["coef"], got["m"]["r2"]) == pytest.approx((0, 0.5, 1), abs=1e-12)
+    rng = np.random.default_rng(4)
+    rows = [(s, D[i], *map(float, rng.normal(size=3))) for s in "ab" for i in range(60)] + [("c", D[i], 1.0, 2.0, float(i)) for i in range(4)]
+    got = {(r["s"], r["term"]): r for r in judge.attribution(spark.createDataFrame(rows, "s string, date date, y double, f double, g double"), "y", ["f", "g"], by=["s"]).collect()}
+    assert {s for s, _ in got} == {"a", "b"}
+    for s in "ab":
+        v = np.array([r[2:] for r in rows if r[0] == s])
+        y, x = v[:, 0], np.column_stack([np.ones(60), v[:, 1:]])
+        beta = np.linalg.solve(x.T @ x, x.T @ y)
+        u = x * (y - x @ beta)[:, None]
+        meat = u.T @ u + sum((1 - k / 4) * (u[k:].T @ u[:-k] + u[:-k].T @ u[k:]) for k in (1, 2, 3))
+        inner = np.linalg.inv(x.T @ x)
+        t = beta / np.sqrt(np.diag(inner @ meat @ inner) * 60 / 57)
+        for k, term in enumerate(["alpha", "f", "g"]):
+            assert (got[s, term]["coef"], got[s, term]["t"]) == pytest.approx((beta[k], t[k]))
+
+
+def test_judged_search(spark):
+    rng = np.random.default_rng(5)
+    days = [dt.date(2018, 1, 1) + dt.timedelta(days=7 * i) for i in range(200)]
+    rows = [(f"c{j}", d, float(v)) for j in range(6) for d, v in zip(days, rng.normal(0.4 * (j == 2), 1, 200), strict=True)]
+    series = spark.createDataFrame(rows, "candidate string, date date, pnl double")
+    sharpes = {r["candidate"]: r["sharpe"] for r in judge.series_stats(series, ["candidate"], periods=52).orderBy("candidate").collect()}
+    got = judge.judged_search(series, sharpes, 52, blocks=6)
+    assert got["deflated"]["best"] == "c2" and got["deflated"]["trials"] == 6 and got["deflated"]["probability"] > 0.9
+    assert got["selection"]["hindsight"] == "c2" and got["selection"]["sharpe"] <= got["selection"]["hindsight_sharpe"] + 1e-9 and got["overfitting"]["pbo"] < 0.2
+    assert judge.judged_search(series.filter("candidate = 'c1'"), {"c1": sharpes["c1"]}, 52)["overfitting"]["pbo"] is None
+    years = judge.ic_by_year(spark.createDataFrame([(D[0], 2018, 1.0, 1.0), (D[0], 2018, 2.0, 2.0), (D[1], 2019, 1.0, 2.0), (D[1], 2019, 2.0, 1.0)], "t0 date, y_year int, pred double, y_rank double"))
+    assert judge.overall_ic(years) == {"mean": 0.0, "worst_year": 2019, "worst": -1.0, "years": 2}
+
+
 def test_pbo(spark):
     rng = np.random.default_rng(2)
     rows = lambda edge: [(f"c{j}", D[i], float(v)) for j in range(8) for i, v in enumerate(rng.normal(edge * (j == 3), 1, 200))]

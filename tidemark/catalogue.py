@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,9 +149,21 @@ def selection_scores(spark, d):
     return rounded(selection.scores(_dealt(spark, d).filter("is_train"), ["r1", "r2", "r3"], by=["fold"]))
 
 
+def _clustered(spark, d) -> tuple[DataFrame, list[str]]:
+    train = _dealt(spark, d).filter("is_train").withColumns({"r1b": F.col("r1") + 0.1 * F.col("r2"), "r1c": F.col("r1") - 0.1 * F.col("r3")})
+    return train, ["r1", "r1b", "r1c", "r2", "r3"]
+
+
 def cluster_selection(spark, d):
-    train = _dealt(spark, d).filter("is_train and fold = 1999").withColumns({"r1b": F.col("r1") + 0.1 * F.col("r2"), "r1c": F.col("r1") - 0.1 * F.col("r3")})
-    return selection.select(train, ["r1", "r1b", "r1c", "r2", "r3"])
+    """Each fold's selection, the one before it settling near ties."""
+    return selection.select_by_fold(*_clustered(spark, d))
+
+
+def fold_correlations(spark, d):
+    rows, features = _clustered(spark, d)
+    found = selection.fold_correlations(rows, features)
+    pairs = [(f, features[i], features[j], float(m[i, j])) for f, m in sorted(found.items()) for i in range(len(features)) for j in range(i + 1, len(features))]
+    return rounded(spark.createDataFrame(pairs, "fold int, first string, second string, corr double"))
 
 
 def zscore_ensemble(spark, d):
@@ -261,8 +274,8 @@ def sizing_diagnostics(spark, d):
 
 def book_stats(spark, d):
     stats = judge.book_stats(_days(spark, d), periods=12, block=6)
-    rows = [(side, float(stats[side]["sharpe"]), float(stats[side]["total"]), *map(float, stats[side]["sharpe_ci"]), stats["avg_live_long"], stats["avg_live_short"]) for side in ("long", "short", "ls")]
-    return spark.createDataFrame(rows, "side string, sharpe double, total double, lo double, hi double, avg_live_long double, avg_live_short double")
+    rows = [(side, stats[side]["n"], *[float(stats[side][c]) for c in ("sharpe", "total", "max_drawdown")], stats["avg_live_long"], stats["avg_live_short"]) for side in ("long", "short", "ls")]
+    return rounded(spark.createDataFrame(rows, "side string, n bigint, sharpe double, total double, max_drawdown double, avg_live_long double, avg_live_short double"))
 
 
 def decile_spread(spark, d):
@@ -302,9 +315,12 @@ def sharpe_by_half_year(spark, d):
 
 
 def _pair(spark, d):
-    rows = judge.align(panels.region_series(spark, d))
-    names = sorted(r[0] for r in rows.select("candidate").distinct().collect())
-    return names, {n: judge.collected_series(rows.filter(F.col("candidate") == n)) for n in names}
+    """The candidates' names and series on their common dates, collected once: a row a month and candidate."""
+    held: dict[str, list] = {}
+    for r in judge.align(panels.region_series(spark, d)).collect():
+        held.setdefault(r["candidate"], []).append((r["date"], r["pnl"]))
+    columns = {n: tuple(zip(*sorted(rows), strict=True)) for n, rows in held.items()}
+    return sorted(held), {n: (days, np.array(x, float)) for n, (days, x) in columns.items()}
 
 
 def bootstrap_ci(spark, d):
@@ -326,10 +342,10 @@ def factor_attribution_1f(spark, d):
 
 
 def factor_attribution(spark, d):
-    names, series = _pair(spark, d)
-    maps = {n: dict(zip(*series[n], strict=True)) for n in names}
-    a = judge.factor_attribution(maps[names[0]], {n: maps[n] for n in names[1:3]})
-    return spark.createDataFrame([(k, float(v["beta"]), float(v["t"]), float(a["alpha_t"]), a["r2"]) for k, v in a["betas"].items()], "factor string, beta double, t double, alpha_t double, r2 double")
+    rows = judge.align(panels.region_series(spark, d))
+    names = sorted(r[0] for r in rows.select("candidate").distinct().collect())
+    wide = rows.groupBy("date").agg(*[F.max(F.when(F.col("candidate") == n, F.col("pnl"))).alias(c) for n, c in zip(names, ("y", "first", "second"), strict=False)])
+    return rounded(judge.attribution(wide, "y", ["first", "second"]).drop("sharpe", "rest_sharpe"))
 
 
 def return_moments(spark, d):
@@ -340,7 +356,8 @@ def deflated_sharpe(spark, d):
     stats = judge.series_stats(panels.region_series(spark, d), ["candidate"], periods=12).collect()
     stats.sort(key=lambda r: r["candidate"])
     out = judge.deflated_sharpe([r["sharpe"] for r in stats], min(r["n"] for r in stats), 12)
-    return spark.createDataFrame([(stats[out["best"]]["candidate"], out["n_trials"], out["best_sharpe"], out["expected_max_sharpe_null"], out["dsr"], out["psr_vs_zero"])], "best string, n_trials int, best_sharpe double, expected_max_sharpe_null double, dsr double, psr_vs_zero double")
+    row = (stats[out.best]["candidate"], out.trials, out.sharpe, out.expected_by_luck, out.probability, out.probability_above_zero)
+    return spark.createDataFrame([row], "best string, trials int, sharpe double, expected_by_luck double, probability double, probability_above_zero double")
 
 
 def align_series(spark, d):
@@ -384,7 +401,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = """percentile_rank rank_of_rows zscore_within_date demean_sector rank_panel residualize_sector_beta residualize_general
 rolling_zscore rolling_mean lag_forward_return momentum fold_table ridge_walk_forward ridge_prior_walk_forward
 composite_walk_forward rule_walk_forward gbt_walk_forward in_sample_ic winsorize_in_fold interactions_in_fold pca_in_fold
-selection_scores cluster_selection zscore_ensemble zscore_ensemble_ts weight_stability quantile_book trailing_pool_book
+selection_scores cluster_selection fold_correlations zscore_ensemble zscore_ensemble_ts weight_stability quantile_book trailing_pool_book
 fold_standardised daily_book daily_book_from_first_live signal_book signal_book_short_only constant_book rule_book
 active_series path_daily_pnl path_on_calendar path_final_pnl sizing_diagnostics book_stats decile_spread ic_by_year ts_ic_by_year per_date_ic
 fama_macbeth power_ic_volatility series_stats sharpe_by_year sharpe_by_half_year bootstrap_ci paired_bootstrap

@@ -69,26 +69,35 @@ def spearman(frame: DataFrame, x: str, y: str, by: By = (), name: str = "ic") ->
     return ranks.groupBy(*keys).agg(pearson("_x", "_y").alias(name), F.count("*").alias("n"))
 
 
-def residualize(frame: DataFrame, y: str, date: str = "t0", groups: Sequence[str] = (), exposures: Sequence[str] = (), name: str = "residual") -> DataFrame:
+def residualize(frame: DataFrame, y: str, date: str = "t0", groups: Sequence[str] = (), exposures: Sequence[str] = (), name: str = "residual", keys: Sequence[str] = ()) -> DataFrame:
     """Adds y less its per-date least-squares fit on an intercept, group dummies and exposures.
 
-    With one group column and at most one exposure this is arithmetic on windows: both sides are demeaned within date
-    and group, and the slope is a ratio of the date's sums. Otherwise each date is solved by itself. Rows with an unknown
-    y or exposure get null and take no part; a null group is a level of its own.
+    With at most one group column this is arithmetic on windows of the date: everything is demeaned within date and group,
+    which is what the dummies do, each exposure is made orthogonal to those before it, and y loses its part along each.
+    An exposure that the ones before explain adds nothing. With several group columns each date is solved by itself, in a
+    worker that holds the date's rows: with keys (of a row within its date) only those, y, groups and exposures, without
+    them all columns. Rows with an unknown y or exposure get null and take no part; a null group is a level of its own.
     """
     known = finite(y).isNotNull()
     for e in exposures:
         known = known & finite(e).isNotNull()
-    if len(groups) <= 1 and len(exposures) <= 1:
+    if len(groups) <= 1:
         part = [F.col(date), *[F.coalesce(F.col(g).cast("string"), F.lit("<null>")) for g in groups]]
         cell, day = Window.partitionBy(*part), Window.partitionBy(date)
         inside = lambda c: F.when(known, finite(c) - F.avg(F.when(known, finite(c))).over(cell))
-        out = frame.withColumn("_y", inside(y))
-        if not exposures:
-            return out.withColumn(name, F.col("_y")).drop("_y")
-        out = out.withColumn("_x", inside(exposures[0]))
-        slope = F.try_divide(F.sum(F.col("_x") * F.col("_y")).over(day), F.sum(F.col("_x") * F.col("_x")).over(day))
-        return out.withColumn(name, F.col("_y") - F.coalesce(slope, F.lit(0.0)) * F.col("_x")).drop("_x", "_y")
+        over = lambda a, b: F.sum(F.col(a) * F.col(b)).over(day)
+        out = frame.withColumns({"_y": inside(y)} | {f"_x{i}": inside(e) for i, e in enumerate(exposures)})
+        for i in range(len(exposures)):
+            size = over(f"_x{i}", f"_x{i}")
+            for j in range(i):
+                out = out.withColumn(f"_x{i}", F.col(f"_x{i}") - F.coalesce(F.try_divide(over(f"_x{i}", f"_x{j}"), over(f"_x{j}", f"_x{j}")), F.lit(0.0)) * F.col(f"_x{j}"))
+                if not j:
+                    out = out.withColumn(f"_s{i}", size)
+            if i:  # what is left of an exposure that others explain is rounding
+                out = out.withColumn(f"_x{i}", F.when(over(f"_x{i}", f"_x{i}") > 1e-18 * F.col(f"_s{i}"), F.col(f"_x{i}")).otherwise(F.col(f"_x{i}") * 0))
+            out = out.withColumn("_y", F.col("_y") - F.coalesce(F.try_divide(over(f"_x{i}", "_y"), over(f"_x{i}", f"_x{i}")), F.lit(0.0)) * F.col(f"_x{i}"))
+        made = [f"_x{i}" for i in range(len(exposures))] + [f"_s{i}" for i in range(1, len(exposures))]
+        return out.withColumn(name, F.col("_y")).drop("_y", *made)
 
     def solve(pdf):
         ok = pdf[[y, *exposures]].notna().all(axis=1)
@@ -101,7 +110,9 @@ def residualize(frame: DataFrame, y: str, date: str = "t0", groups: Sequence[str
         if ok.any():
             a, b = np.column_stack(columns), pdf.loc[ok, y].to_numpy(float)
             pdf.loc[ok, name] = b - a @ np.linalg.lstsq(a, b, rcond=None)[0]
-        return pdf
+        return pdf[list(sent.columns) + [name]]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes) + f", `{name}` double"
-    return frame.groupBy(date).applyInPandas(solve, schema).withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+    sent = frame.select(date, *keys, *dict.fromkeys([y, *groups, *exposures])) if keys else frame
+    schema = ", ".join(f"`{n}` {t}" for n, t in sent.dtypes) + f", `{name}` double"
+    solved = sent.groupBy(date).applyInPandas(solve, schema).withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+    return frame.join(solved.select(date, *keys, name), [date, *keys], "left") if keys else solved

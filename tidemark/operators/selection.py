@@ -41,27 +41,34 @@ def average_linkage(distance: np.ndarray, cut: float) -> list[list[int]]:
     return sorted(groups)
 
 
+def fold_correlations(rows: DataFrame, features: Sequence[str], fill: float = 0.5) -> dict[int, np.ndarray]:
+    """fold -> the correlation matrix over its rows, for all folds in one aggregate."""
+    x = [F.coalesce(finite(f), F.lit(fill)) for f in features]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x))]
+    out = {}
+    for r in rows.groupBy("fold").agg(*[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]).collect():
+        m = out[r["fold"]] = np.eye(len(x))
+        for i, j in pairs:
+            scale = r[f"s{i}"] * r[f"s{j}"]
+            m[i, j] = m[j, i] = r[f"c{i}_{j}"] / scale if scale > 0 else 0.0
+    return out
+
+
 def correlations(rows: DataFrame, features: Sequence[str], sample: int = 300_000, seed: int = 0, keys: Sequence[str] = ("root", "t0"), fill: float = 0.5) -> np.ndarray:
     """The correlation matrix over the rows, or over `sample` of them taken by least hash of their keys and seed."""
     if rows.limit(sample + 1).count() > sample:
         rows = rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(sample)
-    x = [F.coalesce(finite(f), F.lit(fill)) for f in features]
-    pairs = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x))]
-    r = rows.agg(*[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    out = np.eye(len(x))
-    for i, j in pairs:
-        scale = r[f"s{i}"] * r[f"s{j}"]
-        out[i, j] = out[j, i] = r[f"c{i}_{j}"] / scale if scale > 0 else 0.0
-    return out
+    return fold_correlations(rows.withColumn("fold", F.lit(0)), features, fill).get(0, np.eye(len(features)))
 
 
-def select(rows: DataFrame, features: Sequence[str], previous: Sequence[str] = (), target: str = "y_rank", cut: float = 0.6, min_cluster: int = 3, tie_tol: float = 0.1, singleton_ir: float = 2.0, singleton_cons: float = 0.75, sample: int = 300_000, fill: float = 0.5) -> DataFrame:
-    """cluster, feature, ic, ir, cons, chosen. Small clusters are -1: each member stands for itself."""
-    groups = average_linkage(1 - np.abs(correlations(rows, features, sample, fill=fill)), 1 - cut)
-    made = {r["feature"]: r for r in scores(rows, features, target).collect()}
+CHOICE = "cluster int, feature string, ic double, ir double, cons double, chosen boolean"
+
+
+def _choose(features: Sequence[str], matrix: np.ndarray, made: dict, previous: Sequence[str], cut: float, min_cluster: int, tie_tol: float, singleton_ir: float, singleton_cons: float) -> list[tuple]:
+    """Rows of CHOICE from correlations and scores. Small clusters are -1: each member stands for itself."""
     none = {"ic": 0.0, "ir": 0.0, "cons": 0.0, "n_years": 0}
     out = []
-    for k, members in enumerate(groups, 1):
+    for k, members in enumerate(average_linkage(1 - np.abs(matrix), 1 - cut), 1):
         got = {features[i]: made.get(features[i], none) for i in members}
         key = {f: abs(s["ic"]) * s["cons"] for f, s in got.items()}
         if len(members) >= min_cluster:
@@ -72,4 +79,27 @@ def select(rows: DataFrame, features: Sequence[str], previous: Sequence[str] = (
             out += [(k, f, s["ic"], s["ir"], s["cons"], f == best) for f, s in got.items()]
         else:
             out += [(-1, f, s["ic"], s["ir"], s["cons"], abs(s["ir"]) >= singleton_ir and s["cons"] >= singleton_cons and s["n_years"] >= 2) for f, s in got.items()]
-    return rows.sparkSession.createDataFrame(out, "cluster int, feature string, ic double, ir double, cons double, chosen boolean")
+    return out
+
+
+def select(rows: DataFrame, features: Sequence[str], previous: Sequence[str] = (), target: str = "y_rank", cut: float = 0.6, min_cluster: int = 3, tie_tol: float = 0.1, singleton_ir: float = 2.0, singleton_cons: float = 0.75, sample: int = 300_000, fill: float = 0.5) -> DataFrame:
+    """cluster, feature, ic, ir, cons, chosen of one fold's training rows."""
+    made = {r["feature"]: r for r in scores(rows, features, target).collect()}
+    out = _choose(features, correlations(rows, features, sample, fill=fill), made, previous, cut, min_cluster, tie_tol, singleton_ir, singleton_cons)
+    return rows.sparkSession.createDataFrame(out, CHOICE)
+
+
+def select_by_fold(rows: DataFrame, features: Sequence[str], target: str = "y_rank", date: str = "t0", year: str = "y_year", cut: float = 0.6, min_cluster: int = 3, tie_tol: float = 0.1, singleton_ir: float = 2.0, singleton_cons: float = 0.75, fill: float = 0.5, keep_previous: bool = True) -> DataFrame:
+    """fold and the same for every fold of training rows: two jobs for all folds, over all their rows.
+
+    With keep_previous a fold's pick of the fold before is kept at near ties.
+    """
+    made: dict[int, dict] = {}
+    for r in scores(rows, features, target, date, year, by=["fold"]).collect():
+        made.setdefault(r["fold"], {})[r["feature"]] = r
+    out, previous = [], ()
+    for fold, matrix in sorted(fold_correlations(rows, features, fill).items()):
+        picked = _choose(features, matrix, made.get(fold, {}), previous if keep_previous else (), cut, min_cluster, tie_tol, singleton_ir, singleton_cons)
+        out += [(fold, *p) for p in picked]
+        previous = tuple(p[1] for p in picked if p[-1])
+    return rows.sparkSession.createDataFrame(out, "fold int, " + CHOICE)

@@ -221,6 +221,13 @@ SQL = {
 b as (select *, case when root % 11 <> 0 then f3 end as beta from cs),
 d as (select root, t0, case when beta is not null then y - avg(case when beta is not null then y end) over g end as yy, beta - avg(beta) over g as xx from b window g as (partition by t0, sector))
 select {_KEYS}, {_r('yy - coalesce(sum(xx * yy) over (partition by t0) / nullif(sum(xx * xx) over (partition by t0), 0), 0) * xx', 'residual')} from d""",
+    "residualize_general": f"""with {XS},
+d as (select root, t0, y - avg(y) over g as yy, r1 - avg(r1) over g as a, r2 - avg(r2) over g as b from xs where y is not null and r1 is not null and r2 is not null window g as (partition by t0, sector)),
+p as (select t0, sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(a * yy) as ay, sum(b * yy) as byy from d group by t0),
+q as (select *, case when aa > 0 then bb - ab * ab / aa else bb end as rest from p),
+w as (select t0, ok, case when ok then (byy - case when aa > 0 then ab * ay / aa else 0 end) / rest else 0 end as wb, aa, ab, ay from (select *, rest > 1e-18 * bb as ok from q)),
+f as (select d.*, w.wb, case when w.aa > 0 then (w.ay - w.wb * w.ab) / w.aa else 0 end as wa from d join w using (t0))
+select cs.root, cs.t0, {_r('f.yy - f.wa * f.a - f.wb * f.b', 'residual')} from cs left join f using (root, t0)""",
     "rolling_zscore": f"""with {TS} select date, case when count(rev) over a >= 10 then {_r('(rev - avg(rev) over a) / nullif(stddev_samp(rev) over a, 0)', 'z').removesuffix(' as z')} end as z21,
 case when count(r) over b >= 10 then {_r('(r - avg(r) over b) / nullif(stddev_samp(r) over b, 0)', 'z').removesuffix(' as z')} end as z63 from ts0
 window a as (order by date rows between 20 preceding and current row), b as (order by date rows between 62 preceding and current row)""",
@@ -269,6 +276,13 @@ select key, t0, {_r('pct', 'pct')}, n_eligible, case when pct >= 0.9 - 1e-12 the
 select {_KEYS}, fold, {_r('case when sd > 0 then (pred - mu) / sd else pred end', 'pred')} from preds left join m using (fold) where not is_train""",
     "daily_book": f"with {DAYS} select date, " + ", ".join(_r(c, c) for c in ("long", "short", "long_pp", "short_pp", "ls", "ls_pp")) + ", n_long, n_short from live",
     "daily_book_from_first_live": f"with {DAYS} select date, {_r('ls', 'ls')}, n_long, n_short from live where date >= (select min(date) from live where n_long >= 2 and n_short >= 2)",
+    "book_stats": f"""with {DAYS}, sides as (select date, 'long' as side, long as pnl from live union all select date, 'short', short from live union all select date, 'ls', ls from live),
+sc as (select *, sum(pnl) over (partition by side order by date) as cum from sides), su as (select *, cum - max(cum) over (partition by side order by date) as down from sc)
+select side, count(*) as n, {_r(_sharpe('pnl'), 'sharpe')}, {_r('sum(pnl)', 'total')}, {_r('min(down)', 'max_drawdown')},
+{_r('(select avg(n_long) from live)', 'avg_live_long')}, {_r('(select avg(n_short) from live)', 'avg_live_short')} from su group by side""",
+    "fold_correlations": f"""with {DEALT}, w as (select fold, r1, r1 + 0.1 * r2 as r1b, r1 - 0.1 * r3 as r1c, r2, r3 from dealt where is_train),
+v as (select fold, coalesce(r1, 0.5) as r1, coalesce(r1b, 0.5) as r1b, coalesce(r1c, 0.5) as r1c, coalesce(r2, 0.5) as r2, coalesce(r3, 0.5) as r3 from w)
+""" + " union all ".join(f"select fold, '{a}' as first, '{b}' as second, {_r(_pearson(a, b), 'corr')} from v group by fold" for k, a in enumerate(('r1', 'r1b', 'r1c', 'r2', 'r3')) for b in ('r1', 'r1b', 'r1c', 'r2', 'r3')[k + 1:]),
     "signal_book": f"with {SCALED} select date, fold, {_r('position', 'position')}, {_r('turnover', 'turnover')}, {_r('pnl', 'pnl')} from book",
     "signal_book_short_only": f"with {_signal('least(greatest(sign(pred), -1), 0)')} select date, fold, {_r('cast(position as double)', 'position')}, {_r('cast(turnover as double)', 'turnover')}, {_r('pnl', 'pnl')} from book",
     "constant_book": f"with {TS}, {_plain_book('cast(-1 as double)')} select date, {_r('position', 'position')}, {_r('turnover', 'turnover')}, {_r('pnl', 'pnl')} from plain",
@@ -316,6 +330,24 @@ select candidate, count(*) as n, {_r('avg(pnl)', 'mean')}, {_r('stddev_samp(pnl)
     "factor_attribution_1f": f"""with {SERIES}, m as (select date, round(avg(pnl), 10) as x from series group by date)
 select candidate, count(*) as n, {_r('avg(pnl) - covar_pop(pnl, x) / nullif(var_pop(x), 0) * avg(x)', 'alpha')}, {_r('covar_pop(pnl, x) / nullif(var_pop(x), 0)', 'beta')},
 {_r('coalesce(covar_pop(pnl, x) * covar_pop(pnl, x) / nullif(var_pop(x) * var_pop(pnl), 0), 0)', 'r2')} from series join m using (date) group by candidate""",
+    "factor_attribution": f"""with {ALIGNED}, nm as (select candidate, row_number() over (order by candidate) as k from (select distinct candidate from aligned)),
+w as (select date, max(pnl) filter (k = 1) as y, max(pnl) filter (k = 2) as a, max(pnl) filter (k = 3) as b from aligned join nm using (candidate) group by date),
+m as (select count(*) as n, avg(y) as my, avg(a) as ma, avg(b) as mb from w),
+c as (select date, y - my as y, a - ma as a, b - mb as b from w, m),
+s as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as byy, sum(y * y) as yy from c),
+f as (select *, aa * bb - ab * ab as det, (bb * ay - ab * byy) / (aa * bb - ab * ab) as wa, (aa * byy - ab * ay) / (aa * bb - ab * ab) as wb from s),
+u as (select date, y - wa * a - wb * b as e, (y - wa * a - wb * b) * a as p, (y - wa * a - wb * b) * b as q from c, f),
+l as (select *, lag(e, 1) over o as e1, lag(e, 2) over o as e2, lag(e, 3) over o as e3, lag(p, 1) over o as p1, lag(p, 2) over o as p2, lag(p, 3) over o as p3,
+  lag(q, 1) over o as q1, lag(q, 2) over o as q2, lag(q, 3) over o as q3 from u window o as (order by date)),
+v as (select sum(e * e) as ee, {', '.join(f"sum({i} * {j}) + {' + '.join(f'{1 - g / 4} * sum({i} * {j}{g} + {j} * {i}{g})' for g in (1, 2, 3))} as w{i}{j}" for i, j in ('ee', 'ep', 'eq', 'pp', 'pq', 'qq'))} from l),
+t as (select *, wee / (n * n) as v00, (wep * bb - weq * ab) / det / n as c01, (weq * aa - wep * ab) / det / n as c02,
+  (bb * bb * wpp - 2 * ab * bb * wpq + ab * ab * wqq) / (det * det) as v1, (ab * ab * wpp - 2 * aa * ab * wpq + aa * aa * wqq) / (det * det) as v2,
+  (-ab * bb * wpp + (aa * bb + ab * ab) * wpq - aa * ab * wqq) / (det * det) as c12 from m, f, v),
+r as (select *, sqrt(n / (n - 3)) as up, my - wa * ma - wb * mb as alpha, v00 + ma * ma * v1 + mb * mb * v2 - 2 * ma * c01 - 2 * mb * c02 + 2 * ma * mb * c12 as v3 from t),
+z as (select 'alpha' as term, n, alpha as coef, alpha / (sqrt(v3) * up) as t, cast(null as double) as corr, 1 - ee / yy as r2 from r
+  union all select 'first', n, wa, wa / (sqrt(v1) * up), ay / sqrt(aa * yy), 1 - ee / yy from r
+  union all select 'second', n, wb, wb / (sqrt(v2) * up), byy / sqrt(bb * yy), 1 - ee / yy from r)
+select term, n, {_r('coef', 'coef')}, {_r('t', 't')}, {_r('corr', 'corr')}, {_r('r2', 'r2')} from z""",
     "return_moments": f"""with {SERIES}, d as (select candidate, pnl - avg(pnl) over (partition by candidate) as d from series)
 select candidate, count(*) as n, {_r('avg(d * d * d) / pow(avg(d * d), 1.5)', 'skew')}, {_r('avg(d * d * d * d) / pow(avg(d * d), 2)', 'kurt')} from d group by candidate""",
     "align_series": f"""with {SERIES}, s as (select * from series where candidate <> 'ASIA' or month(date) <> 5),
