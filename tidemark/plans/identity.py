@@ -11,11 +11,13 @@ import inspect
 import json
 import math
 import platform
+import subprocess
 import types
 from collections.abc import Mapping
+from importlib import metadata
+from pathlib import Path
 from typing import Any
 
-import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,36 +51,73 @@ def digest(*parts: Any) -> str:
     return hashlib.sha256(json.dumps([canonical(p) for p in parts], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def _names(code: types.CodeType) -> set[str]:
+    """The global names and attributes that a code object mentions, in its lambdas and inner functions too."""
+    found = set(code.co_names)
+    for const in code.co_consts:
+        if isinstance(const, types.CodeType):
+            found |= _names(const)
+    return found
+
+
 def code_digest(fn: Any, package: str | None = None) -> str:
-    """Source of fn and of the functions of its module (or package) that it reaches, with the values that it closes over."""
+    """Source of fn and of what it reaches in its package, with the values that it closes over.
+
+    Reached are functions, classes and constants among its module's globals, and those of the package's modules that it
+    mentions: an operator called as module.name belongs to the stage that calls it. Too much may be reached by a name that
+    two modules share, which costs a rerun; too little would be a stale result.
+    """
     found: dict[str, Any] = {}
 
-    def reach(f: Any) -> None:
+    def mentioned(value: Any, at: str, root: str, names: set[str]) -> None:
+        if isinstance(value, types.ModuleType):
+            if value.__name__.split(".")[0] == root:
+                for name in names & vars(value).keys():
+                    mentioned(vars(value)[name], f"{value.__name__}.{name}", root, set())
+        elif isinstance(value, types.FunctionType | type | functools.partial):
+            if (getattr(value, "__module__", None) or root).split(".")[0] == root:
+                reach(value, root)
+        elif value is None or isinstance(value, bool | int | float | str | tuple | frozenset):
+            try:
+                found[at] = canonical(value)
+            except (TypeError, ValueError):
+                found[at] = repr(value)
+
+    def reach(f: Any, root: str | None) -> None:
         if isinstance(f, functools.partial):
             found[f"partial:{len(found)}"] = canonical([list(f.args), f.keywords])
             f = f.func
         f = inspect.unwrap(f)
-        if not isinstance(f, types.FunctionType):
+        if not isinstance(f, types.FunctionType | type):
             return
         name = f"{f.__module__}.{f.__qualname__}"
         if name in found:
             return
         try:
             found[name] = inspect.getsource(f)
-        except OSError:
-            found[name] = f.__code__.co_code.hex()
+        except (OSError, TypeError):
+            found[name] = f.__code__.co_code.hex() if isinstance(f, types.FunctionType) else name
+        root = root or package or f.__module__.split(".")[0]
+        if isinstance(f, type):
+            for member in vars(f).values():
+                member = getattr(member, "__func__", getattr(member, "fget", member))
+                if isinstance(member, types.FunctionType):
+                    follow(member, root)
+            for base in f.__bases__:
+                if base.__module__.split(".")[0] == root:
+                    reach(base, root)
+        else:
+            follow(f, root)
+
+    def follow(f: types.FunctionType, root: str) -> None:
         for cell in f.__closure__ or ():
             held = cell.cell_contents
-            reach(held) if callable(held) else found.update({f"{name}:{len(found)}": canonical(held)})
-        root = (package or f.__module__).split(".")[0]
-        for other in f.__code__.co_names:
-            g = f.__globals__.get(other)
-            if isinstance(g, types.FunctionType) and g.__module__.split(".")[0] == root:
-                reach(g)
-            elif isinstance(g, int | float | str | tuple):
-                found[f"{f.__module__}.{other}"] = canonical(g)
-
-    reach(fn)
+            reach(held, root) if callable(held) else found.update({f"{f.__qualname__}:{len(found)}": canonical(held)})
+        names = _names(f.__code__)
+        for name in sorted(names & f.__globals__.keys()):
+            mentioned(f.__globals__[name], f"{f.__module__}.{name}", root, names)
+
+    reach(fn, package)
     return digest(found)
 
 
@@ -91,5 +130,32 @@ def content_hash(df: DataFrame) -> str:
     return digest(df.schema.json(), r["n"], str(r["s1"]), str(r["s2"]))
 
 
-def environment() -> str:
-    return digest(platform.python_version(), platform.machine(), pyspark.__version__)
+#: Settings that change what a query gives.
+CONFS = ("spark.sql.ansi.enabled", "spark.sql.session.timeZone", "spark.sql.caseSensitive", "spark.sql.storeAssignmentPolicy", "spark.sql.decimalOperations.allowPrecisionLoss", "spark.sql.legacy.timeParserPolicy")
+
+
+def environment(spark: Any = None) -> str:
+    """Of the interpreter, the machine, the libraries that compute, this package's version and the session's settings."""
+    versions = {}
+    for name in ("pyspark", "numpy", "pandas", "pyarrow"):
+        try:
+            versions[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            versions[name] = None
+    confs = {c: spark.conf.get(c, None) for c in CONFS} if spark is not None else {}
+    return digest(platform.python_version(), platform.machine(), versions, _version(), confs)
+
+
+def _version() -> str:
+    import tidemark
+
+    return tidemark.__version__
+
+
+def code_identity(folder: str | Path) -> str:
+    """version @ commit of the code in a folder, with (changed) if files differ from the commit: for records, not for keys."""
+    run = lambda *a: subprocess.run(["git", "-C", str(folder), *a], capture_output=True, text=True, check=False)
+    commit = run("rev-parse", "--short=12", "HEAD")
+    if commit.returncode:
+        return f"{_version()} @ no commit"
+    return f"{_version()} @ {commit.stdout.strip()}" + (" (changed)" if run("status", "--porcelain").stdout.strip() else "")

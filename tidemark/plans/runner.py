@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
+import os
+import socket
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -40,6 +44,30 @@ class Events:
                 self.listeners.remove(listener)
 
 
+_current: ContextVar[Events | None] = ContextVar("events", default=None)
+
+
+def progress(done: float, text: str = "") -> None:
+    """From inside a stage: how far it is (0 to 1). Nothing happens outside a run."""
+    _tell("progress", done=done, text=text)
+
+
+def metric(name: str, value: float | None) -> None:
+    """From inside a stage: a number worth showing while the run goes on; null where it isn't finite."""
+    _tell("metric", name=name, value=value if value is not None and math.isfinite(value) else None)
+
+
+def warning(text: str) -> None:
+    """From inside a stage: what whoever reads the run should know."""
+    _tell("warning", text=text)
+
+
+def _tell(kind: str, **what) -> None:
+    events = _current.get()
+    if events is not None:
+        events(kind, **what)
+
+
 def read_events(path: Path, offset: int = 0) -> tuple[list[dict], int]:
     """Whole lines from a byte offset on, and the offset after them; a line still being written stays."""
     raw = path.read_bytes()[offset:] if path.exists() else b""
@@ -57,6 +85,8 @@ def replay(events: Iterable[dict]) -> dict:
             state["stages"][e["stage"]] = e["status"]
         elif e["kind"] == "metric":
             state["metrics"][e["name"]] = e["value"]
+        elif e["kind"] == "progress":
+            state["progress"] = {"done": e["done"], "text": e["text"]}
         elif e["kind"] == "warning":
             state["warnings"].append(e["text"])
     return state
@@ -73,7 +103,12 @@ def judge(state: dict, last_event: float, alive: bool, now: float, patience: flo
 
 @dataclass(frozen=True)
 class Stage:
-    """fn(spec?, *inputs) -> DataFrame, JSON value or Outputs. fingerprint: of a source's data, in place of inputs."""
+    """fn(spec?, *inputs) -> DataFrame, JSON value or Outputs.
+
+    fingerprint: of a source's data, in place of inputs. A stage without inputs and without one reads who knows what, so
+    it runs every time (what follows is still reused if its output is the same), unless source is False: then its
+    specification and code are all that it depends on.
+    """
 
     name: str
     fn: Callable
@@ -82,9 +117,33 @@ class Stage:
     version: int = 1
     fingerprint: Callable[[], str] | None = None
     side: Sequence[str] = ()
+    source: bool = True
+
+    @property
+    def volatile(self) -> bool:
+        """A source of which nothing tells whether its data have changed: it runs every time."""
+        return not self.inputs and self.fingerprint is None and self.source
 
-    def key(self, inputs: Sequence[str]) -> str:
-        return digest(self.name, self.version, canonical(self.spec), code_digest(self.fn), list(inputs), self.fingerprint() if self.fingerprint else None, environment())
+    def key(self, inputs: Sequence[str], spark: SparkSession | None = None) -> str:
+        return digest(self.name, self.version, canonical(self.spec), code_digest(self.fn), list(inputs), self.fingerprint() if self.fingerprint else None, environment(spark))
+
+
+@dataclass(frozen=True)
+class Headline:
+    """Where a book's verdict lies in a stage's output, by dotted paths, and the family of trials that it belongs to."""
+
+    stage: str
+    sharpe: str
+    n: str
+    daily: str
+    value: str = "pnl"
+    family: str = "book"
+
+    def read(self, output: Any) -> dict:
+        return {"sharpe": dig(output, self.sharpe), "n": dig(output, self.n)}
+
+    def series(self, output: Any) -> dict[str, float]:
+        return {str(d["date"]): float(d[self.value]) for d in dig(output, self.daily)}
 
 
 @dataclass(frozen=True)
@@ -106,7 +165,7 @@ class Result:
 
 
 class Pipeline:
-    def __init__(self, stages: Sequence[Stage], root: str | Path, spark: SparkSession, headline: dict[str, str] | None = None):
+    def __init__(self, stages: Sequence[Stage], root: str | Path, spark: SparkSession, headline: dict[str, str] | None = None, books: Sequence[Headline] = ()):
         self.stages = {s.name: s for s in stages}
         if len(self.stages) < len(stages):
             raise ValueError("two stages share a name")
@@ -114,7 +173,7 @@ class Pipeline:
         for s in stages:
             if lost := [i for i in s.inputs if i not in known]:
                 raise ValueError(f"stage {s.name}: no such input {lost}")
-        self.root, self.spark, self.headline = Path(root), spark, headline or {}
+        self.root, self.spark, self.headline, self.books = Path(root), spark, headline or {}, tuple(books)
         self.store, self.manifest, self.ledger = Store(root, spark), Manifest(root), Ledger(root)
         self.order = self._sorted()
 
@@ -145,9 +204,9 @@ class Pipeline:
         return [n for n in self.order if n in want]
 
     def _decide(self, stage: Stage, inputs: Sequence[str]) -> tuple[str, dict | None]:
-        """The one rule of reuse: a known key whose objects are all there."""
-        key = stage.key(inputs)
-        record = self.manifest.find(key)
+        """The one rule of reuse: a known key, not of a volatile source, whose objects are all there."""
+        key = stage.key(inputs, self.spark)
+        record = None if stage.volatile else self.manifest.find(key)
         if record and all(map(self.store.has, [record["output"], *record["side"].values()])):
             return key, record
         return key, None
@@ -180,13 +239,14 @@ class Pipeline:
         keys: dict[str, str] = {}
         for n in self.order:
             s = self.stages[n]
-            keys[n] = s.key([keys[i.split(".")[0]] + i.partition(".")[2] for i in s.inputs])
+            keys[n] = s.key(spark=self.spark, inputs=[keys[i.split(".")[0]] + i.partition(".")[2] for i in s.inputs])
         return digest(keys)
 
     def run(self, targets: Sequence[str] | None = None, listeners: Iterable[Callable[[dict], None]] = (), charge: bool = True) -> dict[str, Result]:
         run_id = f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:6]}"
         events = Events(self.root / "runs" / run_id / "events.jsonl", listeners)
-        events("run_started", run=run_id, stages=self.needed(targets))
+        events("run_started", run=run_id, stages=self.needed(targets), pid=os.getpid(), host=socket.gethostname())
+        token = _current.set(events)
         done: dict[str, dict] = {}
         results: dict[str, Result] = {}
         try:
@@ -209,16 +269,26 @@ class Pipeline:
         except Exception as e:
             events("run_failed", error=str(e)[:500])
             raise
+        finally:
+            _current.reset(token)
         if charge and not targets:
             head = {k: dig(self.store.get(done[p.split(".")[0]]["output"]), p.partition(".")[2]) for k, p in self.headline.items()}
             self.ledger.charge(self.signature(), head)
+            for b in self.books:
+                verdict = b.read(self.store.get(done[b.stage]["output"]))
+                self.ledger.charge(f"{b.stage}:{done[b.stage]['key']}", verdict | {"stage": b.stage, "family": b.family}, kind="book")
         events("run_finished")
-        append(self.root / "runs.jsonl", {"run": run_id, "signature": self.signature(), "stages": {n: r.output for n, r in results.items()}})
+        append(self.root / "runs.jsonl", {"run": run_id, "signature": self.signature(), "stages": {n: r.output for n, r in results.items()}, "sides": {n: r.side for n, r in results.items() if r.side}})
         return results
 
+    def rebase(self, root: str | Path) -> Pipeline:
+        """The same stages over another folder."""
+        return Pipeline(list(self.stages.values()), root, self.spark, self.headline, self.books)
+
     def load(self, name: str) -> Any:
         """A stage's newest output, built by the plan's keys; raises if it isn't there."""
+        name, _, side = name.partition(".")
         runs = [r for r in lines(self.root / "runs.jsonl") if name in r["stages"]]
         if not runs:
             raise KeyError(f"{name} has not been built")
-        return self.store.get(runs[-1]["stages"][name])
+        return self.store.get(runs[-1]["sides"][name][side] if side else runs[-1]["stages"][name])

@@ -6,8 +6,6 @@ import datetime as dt
 import fcntl
 import json
 import math
-import os
-import shutil
 import socket
 import uuid
 from pathlib import Path
@@ -49,51 +47,80 @@ def check_json(value: Any, at: str = "$") -> None:
 
 
 class Store:
-    """objects/<2 hex>/<hash>: a Parquet folder or a JSON file. Written beside and renamed, never overwritten."""
+    """objects/<2 hex>/<hash>: a Parquet folder or a JSON file. Written beside and renamed, never overwritten.
+
+    Objects lie wherever Spark can write: all file operations go through its Hadoop file systems. Manifest, ledger and
+    events are the driver's own files.
+    """
 
     def __init__(self, root: str | Path, spark: SparkSession):
-        self.root, self.spark = Path(root), spark
+        self.root, self.spark = str(root).rstrip("/"), spark
+        jvm = spark._jvm
+        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        self._files = self._at(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _path(self, ref: str) -> Path:
+    def _path(self, ref: str) -> str:
         kind, name = ref.split(":")
-        return self.root / "objects" / name[:2] / (name + {"parquet": "", "json": ".json"}[kind])
+        return f"{self.root}/objects/{name[:2]}/{name}" + {"parquet": "", "json": ".json"}[kind]
 
     def has(self, ref: str) -> bool:
         p = self._path(ref)
-        return (p / "_SUCCESS").exists() if ref.startswith("parquet:") else p.exists()
+        return self._files.exists(self._at(f"{p}/_SUCCESS" if ref.startswith("parquet:") else p))
 
     def put(self, value: Any) -> str:
-        temporary = self.root / "tmp" / uuid.uuid4().hex
+        temporary = f"{self.root}/tmp/{uuid.uuid4().hex}"
         if isinstance(value, DataFrame):
-            value.write.option("compression", "zstd").parquet(str(temporary))
-            ref = "parquet:" + content_hash(self.spark.read.parquet(str(temporary)))
+            value.write.option("compression", "zstd").parquet(temporary)
+            ref = "parquet:" + content_hash(self.spark.read.parquet(temporary))
         else:
             check_json(value)
-            temporary.parent.mkdir(parents=True, exist_ok=True)
-            temporary.write_text(json.dumps(value, ensure_ascii=False))
+            out = self._files.create(self._at(temporary))
+            try:
+                out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+            finally:
+                out.close()
             ref = "json:" + digest(value)
-        p = self._path(ref)
-        p.parent.mkdir(parents=True, exist_ok=True)
-        if self.has(ref):
-            shutil.rmtree(temporary) if temporary.is_dir() else temporary.unlink()
-        else:
-            os.rename(temporary, p)
+        place = self._at(self._path(ref))
+        self._files.mkdirs(place.getParent())
+        # whoever comes second finds the same content there already
+        if self.has(ref) or not self._files.rename(self._at(temporary), place):
+            self._files.delete(self._at(temporary), True)
         return ref
 
     def get(self, ref: str) -> Any:
         p = self._path(ref)
-        return self.spark.read.parquet(str(p)) if ref.startswith("parquet:") else json.loads(p.read_text())
+        if ref.startswith("parquet:"):
+            return self.spark.read.parquet(p)
+        stream = self._files.open(self._at(p))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
 
 class Manifest:
-    """key -> record; a file a host, all read; the newest record of a key counts."""
+    """key -> record; a file a host, all read; the newest record of a key counts. Only what was added since the last look
+    is read again."""
 
     def __init__(self, root: str | Path):
         self.folder = Path(root) / "manifest"
+        self._read: dict[Path, int] = {}
+        self._newest: dict[str, dict] = {}
 
     def find(self, key: str) -> dict | None:
-        found = [r for p in sorted(self.folder.glob("*.jsonl")) for r in lines(p) if r["key"] == key]
-        return max(found, key=lambda r: r["built_at"], default=None)
+        for p in sorted(self.folder.glob("*.jsonl")):
+            start = self._read.get(p, 0)
+            if p.stat().st_size <= start:
+                continue
+            with p.open("rb") as f:
+                f.seek(start)
+                fresh = f.read()
+            whole = fresh[: fresh.rfind(b"\n") + 1]  # a line still being written waits
+            self._read[p] = start + len(whole)
+            for r in map(json.loads, whole.splitlines()):
+                if r["key"] not in self._newest or r["built_at"] >= self._newest[r["key"]]["built_at"]:
+                    self._newest[r["key"]] = r
+        return self._newest.get(key)
 
     def add(self, **record) -> None:
         append(self.folder / f"{socket.gethostname()}.jsonl", record | {"built_at": dt.datetime.now(dt.UTC).isoformat(), "host": socket.gethostname()})
