@@ -93,6 +93,70 @@ def test_ledger_opens_once(tmp_path):
     assert len(ledger.trials()) == len(ledger.books()) == 1
 
 
+def test_a_source_without_a_fingerprint_always_runs(spark, tmp_path):
+    path = str(tmp_path / "data")
+    read = lambda: spark.read.parquet(path)
+
+    def counted(rows):
+        return {"n": rows.count()}
+
+    p = lambda: Pipeline([Stage("source", read), Stage("count", counted, ("source",))], tmp_path / "store", spark)
+    spark.range(3).write.parquet(path)
+    p().run()
+    assert p().plan() == {"source": "run", "count": "upstream"}
+    same = p().run()
+    assert not same["source"].reused and same["count"].reused
+    spark.range(7).write.mode("overwrite").parquet(path)
+    changed = p().run()
+    assert not changed["count"].reused and p().load("count") == {"n": 7}
+    told = Pipeline([Stage("source", read, fingerprint=lambda: "v1")], tmp_path / "told", spark)
+    assert not told.run()["source"].reused and told.run()["source"].reused
+
+
+def test_an_edited_operator_is_other_code(monkeypatch):
+    """Code reached through a module, in a lambda, in an inner function and in a class belongs to a stage."""
+    from tidemark.operators import models
+    from tidemark.plans import study
+
+    before = identity.code_digest(study._fit)
+    monkeypatch.setattr(models, "check_predictions", lambda *a, **k: None)
+    assert identity.code_digest(study._fit) != before
+    monkeypatch.undo()
+    assert identity.code_digest(study._fit) == before
+    monkeypatch.setattr(study, "SHOWN", ("sharpe",))
+    assert identity.code_digest(study._report) != identity.code_digest(study._fit)
+
+
+def test_environment_and_code(spark, tmp_path):
+    before = identity.environment(spark)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert identity.environment(spark) != before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert identity.environment(spark) == before and "no commit" in identity.code_identity(tmp_path)
+
+
+def test_stages_tell_metrics_and_progress(spark, tmp_path):
+    def stage():
+        runner.progress(0.5, "half way")
+        runner.metric("ic", 0.2)
+        runner.metric("odd", float("nan"))
+        runner.warning("thin")
+        return 1
+
+    stage()  # outside a run nothing happens
+    heard = []
+    p = Pipeline([Stage("a", stage, source=False)], tmp_path, spark)
+    p.run(listeners=[heard.append])
+    events, _ = runner.read_events(next(tmp_path.glob("runs/*/events.jsonl")))
+    state = runner.replay(events)
+    assert state["metrics"] == {"ic": 0.2, "odd": None} and state["warnings"] == ["thin"] and state["progress"]["done"] == 0.5
+    assert [e["kind"] for e in heard].count("metric") == 2
+    assert p.run()["a"].reused and p.rebase(tmp_path / "else").plan() == {"a": "run"}
+
+
 def test_search_space():
     raw = {"params": {"a": [1, 2, 3], "b": {"low": 0.1, "high": 10, "log": True}}, "budget": 10, "seed": 3, "complexity": {"a": {"3": 0.1}}}
     s = search.SearchSpace.parse(raw)

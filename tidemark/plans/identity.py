@@ -18,7 +18,7 @@ from importlib import metadata
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,7 +101,7 @@ def code_digest(fn: Any, package: str | None = None) -> str:
         if isinstance(f, type):
             for member in vars(f).values():
                 member = getattr(member, "__func__", getattr(member, "fget", member))
-                if isinstance(member, types.FunctionType):
+                if isinstance(member, types.FunctionType) and not member.__code__.co_filename.startswith("<"):  # written, not generated
                     follow(member, root)
             for base in f.__bases__:
                 if base.__module__.split(".")[0] == root:
@@ -112,6 +112,8 @@ def code_digest(fn: Any, package: str | None = None) -> str:
     def follow(f: types.FunctionType, root: str) -> None:
         for cell in f.__closure__ or ():
             held = cell.cell_contents
+            if isinstance(held, SparkSession):
+                continue  # a way to compute, and no part of what is computed
             reach(held, root) if callable(held) else found.update({f"{f.__qualname__}:{len(found)}": canonical(held)})
         names = _names(f.__code__)
         for name in sorted(names & f.__globals__.keys()):
