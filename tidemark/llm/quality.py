@@ -23,7 +23,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,10 +218,11 @@ def keep(docs: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.
     """
     rules = rules or default_rules()
 
-    @F.pandas_udf("base_failed boolean, votes string")
-    def cast(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("base_failed boolean, votes string")
+    def cast(texts: pa.Array) -> pa.Array:
         of = voted(rules)
-        return pd.DataFrame([of(t)[-2:] for t in texts], columns=["base_failed", "votes"])
+        got = [of(t.as_py())[-2:] for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.bool_()), pa.array([x for _, x in got], pa.string())], ["base_failed", "votes"])
 
     bounded_batches(docs.sparkSession)
     rows = packed(docs, _v=cast(F.col(text))).select("_row", F.col("_v.base_failed").alias("_failed"), F.col("_v.votes").alias("votes"))
