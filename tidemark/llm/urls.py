@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,14 +102,16 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = ALLOW, url: str =
         raise ValueError(f"{len(rules)} rules: more than the {most_rules} that are broadcast")
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
-    @F.pandas_udf("host string, path string, rule string, verdict string")
-    def judged(urls: pd.Series) -> pd.DataFrame:
+    names = ["host", "path", "rule", "verdict"]
+
+    @F.arrow_udf(", ".join(f"{n} string" for n in names))
+    def judged(urls: pa.Array) -> pa.Array:
         rows = []
-        for u in urls:
+        for u in urls.to_pylist():
             host, path = split_url(u)
             rule = trie.value.find(host, path)
             rows.append((host, path, rule.text if rule else None, rule.verdict if rule else default))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names)
 
     bounded_batches(pages.sparkSession)
     kept = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
