@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Bytes of pieces that a worker remembers at most, in two generations, and pairs of tokens, of some 130 bytes each.
-REMEMBERED, PAIRS = 48 << 20, 150_000
+REMEMBERED, PAIRS = 64 << 20, 300_000
 #: Bytes that Python takes for a remembered piece besides its text and ids.
 ENTRY = 190
 #: Characters of a piece from which on it isn't remembered.
@@ -46,12 +46,16 @@ class Bpe:
         self._old: dict[str, bytes] = {}
         self._held = 0
         self._alone: dict[int, bool] = {}
-        #: The lengths of the tokens that end in the same three bytes, longest first; shorter tokens end everything.
-        ends: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], {1, 2}).add(len(token))
-        self._lengths = {end: sorted(lengths, reverse=True) for end, lengths in ends.items()}
+        #: By the last four, three or two bytes: the lengths of tokens that may end so, longest first. Lengths up to that
+        #: many bytes are there only if such a token is; of longer ones some token with these last bytes has the length.
+        self._ends: tuple[dict[bytes, tuple[int, ...]], ...] = ({}, {}, {})
+        for k, table in zip((4, 3, 2), self._ends, strict=True):
+            for token in ranks:
+                if len(token) >= k:
+                    table.setdefault(token[-k:], set()).add(len(token))
+            for end, lengths in table.items():
+                shorter = (n for n in range(1, k) if end[-n:] in ranks)
+                table[end] = tuple(sorted({*lengths, *shorter}, reverse=True))
 
     @classmethod
     def from_file(cls, path: str) -> Bpe:
@@ -119,14 +123,21 @@ class Bpe:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Adds to last, which covers a prefix of piece, the last token of each longer prefix."""
-        ranks, lengths, pairs, short = self.ranks.get, self._lengths.get, self._pairs.get, (2, 1)
+        ranks, pairs, fits, one = self.ranks, self._pairs, self._fits, (1,)
+        four, three, two = (table.get for table in self._ends)
         for end in range(len(last) + 1, len(piece) + 1):
-            for n in lengths(piece[end - 3 : end], short) if end > 2 else short:
-                if n > end or (token := ranks(piece[end - n : end])) is None:
-                    continue
-                before = last[end - n - 1] if n < end else -1
-                ok = pairs(before << 32 | token) if n < end else None
-                if self._fits(before, token) if ok is None else ok:
+            lengths = (end > 3 and four(piece[end - 4 : end])) or (end > 2 and three(piece[end - 3 : end])) or (end > 1 and two(piece[end - 2 : end])) or one
+            for n in lengths:
+                if n < end:
+                    token = ranks.get(piece[end - n : end])
+                    if token is None:
+                        continue
+                    before = last[end - n - 1]
+                    ok = pairs.get(before << 32 | token)
+                    if fits(before, token) if ok is None else ok:
+                        last.append(token)
+                        break
+                elif n == end and (token := ranks.get(piece[:end])) is not None and fits(-1, token):
                     last.append(token)
                     break
             else:
