@@ -18,6 +18,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import sys
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, scratch
+from .common import bounded_batches, give_back, scratch
 
 GAMMA = 2.0
 
@@ -222,34 +223,56 @@ def wordwise(config: dict) -> bool:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """The tokenizer, whether it works word by word, and two generations of remembered words, kept for as long as the worker
-    lives."""
+    """The tokenizer, whether it works word by word, which of its tokens end a word, and two generations of remembered words,
+    kept for as long as the worker lives."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         config = json.load(f)
-    return Tokenizer.from_file(path), wordwise(config), [{}, {}]
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix := config["model"].get("end_of_word_suffix"):
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    return tokenizer, wordwise(config), ends, [{}, {}]
 
 
-def text_encoder(path: str, memory: int = 1_000_000):
+#: A word of letters that stay letters when composed and made small, and perhaps one mark after it: one or two pieces.
+_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
+#: Words that go through the library as one text.
+TOGETHER = 2000
+
+
+def text_encoder(path: str, memory: int = 700_000):
     """texts -> list of two- or four-byte id strings, as the tokenizers library encodes each whole text with
     add_special_tokens=False: strings of special tokens in a text give their ids.
 
-    Where the tokenizer is shown to work word by word (see wordwise), each distinct word goes through the library once; at
-    most `memory` words are remembered, some 200 bytes each, and those not asked for again are forgotten first. With any
-    other tokenizer whole texts go through it.
+    Where the tokenizer is shown to work word by word (see wordwise), each distinct word goes through the library once, many
+    simple ones as one text, whose ids are cut where pieces end; at most `memory` words are remembered, some 250 bytes
+    each, and those not asked for again are forgotten first. With any other tokenizer whole texts go through it.
     """
-    tokenizer, by_word, generations = _tokenizer(path)
+    tokenizer, by_word, ends, generations = _tokenizer(path)
     letter = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
     kind = np.dtype("<u2" if letter == "H" else "<u4")
 
     def encoded(texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [array(letter, e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, kind).tobytes() for e in found]
 
+    def together(words: list[str], pieces: list[int]) -> list[bytes]:
+        """The ids of words of one or two pieces each, by as few calls as may be."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            some, counts = words[at : at + TOGETHER], np.cumsum(pieces[at : at + TOGETHER])
+            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, kind)
+            last = np.flatnonzero(ends[ids])
+            if len(last) != counts[-1]:  # not as shown above: one by one
+                out += encoded(some)
+                continue
+            raw, cuts = ids.tobytes(), [0, *((last[counts - 1] + 1) * kind.itemsize).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def run(texts: list[str | None]) -> list[bytes]:
         if not by_word:
             return encoded([t or "" for t in texts])
@@ -259,13 +282,17 @@ def text_encoder(path: str, memory: int = 1_000_000):
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         rows = [list(map(known.get, ws)) for ws in words]
         asked = {w for ws, row in zip(words, rows, strict=True) if None in row for w, x in zip(ws, row, strict=True) if x is None}
-        new = []
+        simple, pieces, others = [], [], []
         for w in asked:
-            if (x := older.get(w)) is None:
-                new.append(w)
-            else:
+            if (x := older.get(w)) is not None:
                 known[w] = x
-        known.update(zip(new, encoded(new), strict=True))
+            elif m := _SIMPLE.fullmatch(w):
+                simple.append(w)
+                pieces.append(2 if m[1] else 1)
+            else:
+                others.append(w)
+        known.update(zip(simple, together(simple, pieces), strict=True))
+        known.update(zip(others, encoded(others), strict=True))
         return [b"".join([known[w] for w in ws] if None in row else row) for ws, row in zip(words, rows, strict=True)]
 
     return run, kind
@@ -304,6 +331,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str | None = None, shards
                 keys, texts = (batch.slice(at, 512).column(i).to_pylist() for i in (0, 1))
                 for k, ids in zip(keys, run(texts), strict=True):
                     writer.add(k, ids + end)
+        give_back()
         if writer is not None:
             x = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), **{c: pa.array([x[c]], pa.int64()) for c in ("docs", "nulls", "ids", "least", "most")}})
