@@ -56,6 +56,66 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--root", root, "holdout", "done"]) == 0 and cli.main(["--root", root, "alerts"]) == 0
 
 
+def one(root, spark, lift: float = 0.0, seed: int = 1):
+    """A study of one book, whose mean daily result is lift."""
+    import numpy as np
+
+    from tidemark.plans.runner import Headline, Pipeline, Stage
+
+    def book(how):
+        x = np.random.default_rng(how[1]).normal(how[0], 1, 400)
+        days = [str(dt.date(2018, 1, 1) + dt.timedelta(days=3 * i)) for i in range(400)]
+        return {"ls": {"sharpe": float(x.mean() / x.std() * 120**0.5), "n": 400, "sharpe_without_top5": 0.0, "daily": [{"date": d, "pnl": float(v)} for d, v in zip(days, x, strict=True)]}}
+
+    return Pipeline([Stage("eval_a", book, spec=(lift, seed), source=False)], root, spark, books=[Headline("eval_a", "ls.sharpe", "ls.n", "ls.daily", periods=120)])
+
+
+def test_a_search_is_judged(spark, tmp_path, capsys):
+    root, e = str(tmp_path / "r"), tmp_path / "e.toml"
+    e.write_text('study = "tests.test_glue:one"\n[search]\nsampler = "grid"\nbudget = 0\n[search.params]\nlift = [0.0, 0.4]\nseed = [1, 2, 3]\n[search.complexity.lift]\n"0.4" = 0.05\n')
+    assert cli.main(["--root", root, "search", str(e), "--dry-run"]) == 0 and capsys.readouterr().out.count("signature") == 6
+    assert cli.main(["--root", root, "search", str(e)]) == 0
+    said = capsys.readouterr().out
+    assert "best c00" in said and "overfitting" in said
+    record = json.loads(next((tmp_path / "r" / "searches").glob("*.json")).read_text())
+    assert record["deflated"]["probability"] > 0.95 and record["overfitting"]["pbo"] < 0.3 and len(record["candidates"]) == 6 and record["candidates"][-1]["cost"] == 0.05
+    assert len(store.Ledger(tmp_path / "r").books()) == 6
+
+
+def test_runs_are_shown_watched_and_run_again(spark, tmp_path, capsys, monkeypatch):
+    root = str(tmp_path / "r")
+    assert cli.main(["--root", root, "run", "tidemark.plans.toy:study", "--set", "window=2"]) == 0
+    run = store.lines(tmp_path / "r" / "runs.jsonl")[0]["run"]
+    capsys.readouterr()
+    assert cli.main(["--root", root, "rerun", run]) == 0 and "differs" not in capsys.readouterr().out
+    assert cli.main(["--root", root, "runs", run]) == 0 and '"window": 2' in capsys.readouterr().out
+    assert cli.main(["--root", root, "watch", "--once"]) == 0 and "run_finished" in capsys.readouterr().out
+    assert cli.main(["--root", root, "unit", "m:f"]) == 0 and "WatchdogSec" in capsys.readouterr().out
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["--root", root, "config", "init"]) == 0 and cli.main(["--root", root, "config", "check"]) == 0 and (tmp_path / "tidemark.toml").exists()
+
+
+def test_a_dead_run_is_seen(tmp_path):
+    import os
+    import socket
+    import subprocess
+    import sys
+
+    from tidemark.plans import service
+
+    gone = subprocess.Popen([sys.executable, "-c", ""])
+    gone.wait()
+    began = {"kind": "run_started", "at": 0.0, "host": socket.gethostname()}
+    assert service.alive([began | {"pid": os.getpid()}]) and not service.alive([began | {"pid": gone.pid}]) and service.alive([began | {"pid": gone.pid, "host": "elsewhere"}])
+    store.append(tmp_path / "runs" / "r1" / "events.jsonl", began | {"pid": gone.pid})
+    assert report.check_runs(tmp_path, report.Delivery(tmp_path), 1.0, service.run_alive(tmp_path)) == [("r1", "died")]
+    said = []
+    beat = service.Heartbeat(said.append, iter([0, 0, 0.1, 5, 5]).__next__)
+    for e in ({"kind": "run_started"}, {"kind": "stage", "stage": "a", "status": "running"}, {"kind": "metric"}):
+        beat(e)
+    assert said == ["READY=1", "WATCHDOG=1", "STATUS=a running", "WATCHDOG=1"]
+
+
 def test_alerts_are_sent_once(tmp_path):
     sent = []
     deliver = report.Delivery(tmp_path, "webhook", "u", lambda url, body: sent.append((url, json.loads(body))))

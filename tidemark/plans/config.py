@@ -57,3 +57,15 @@ def load(files: list[Path] = (), profile: str | None = None, environ: Mapping[st
     if values["alerts.sink"] not in SINKS:
         raise ValueError(f"{origin['alerts.sink']}: alerts.sink is one of {', '.join(SINKS)}")
     return Resolved(values, origin)
+
+
+def starter() -> str:
+    """A settings file with every default."""
+    out, section = [], None
+    for key, value in DEFAULTS.items():
+        table, _, name = key.partition(".")
+        if table != section:
+            out += ([""] if out else []) + [f"[{table}]"]
+            section = table
+        out.append(f"{name} = " + (f'"{value}"' if isinstance(value, str) else str(value)))
+    return "\n".join(out) + "\n"

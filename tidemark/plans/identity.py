@@ -114,6 +114,9 @@ def code_digest(fn: Any, package: str | None = None) -> str:
             held = cell.cell_contents
             if isinstance(held, SparkSession):
                 continue  # a way to compute, and no part of what is computed
+            if isinstance(held, types.ModuleType):
+                mentioned(held, held.__name__, root, _names(f.__code__))
+                continue
             reach(held, root) if callable(held) else found.update({f"{f.__qualname__}:{len(found)}": canonical(held)})
         names = _names(f.__code__)
         for name in sorted(names & f.__globals__.keys()):

@@ -138,6 +138,7 @@ class Headline:
     daily: str
     value: str = "pnl"
     family: str = "book"
+    periods: int = 252
 
     def read(self, output: Any) -> dict:
         return {"sharpe": dig(output, self.sharpe), "n": dig(output, self.n)}
@@ -242,7 +243,8 @@ class Pipeline:
             keys[n] = s.key(spark=self.spark, inputs=[keys[i.split(".")[0]] + i.partition(".")[2] for i in s.inputs])
         return digest(keys)
 
-    def run(self, targets: Sequence[str] | None = None, listeners: Iterable[Callable[[dict], None]] = (), charge: bool = True) -> dict[str, Result]:
+    def run(self, targets: Sequence[str] | None = None, listeners: Iterable[Callable[[dict], None]] = (), charge: bool = True, meta: dict | None = None) -> dict[str, Result]:
+        """meta: of the run, for its record (the study and its parameters)."""
         run_id = f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:6]}"
         events = Events(self.root / "runs" / run_id / "events.jsonl", listeners)
         events("run_started", run=run_id, stages=self.needed(targets), pid=os.getpid(), host=socket.gethostname())
@@ -278,7 +280,7 @@ class Pipeline:
                 verdict = b.read(self.store.get(done[b.stage]["output"]))
                 self.ledger.charge(f"{b.stage}:{done[b.stage]['key']}", verdict | {"stage": b.stage, "family": b.family}, kind="book")
         events("run_finished")
-        append(self.root / "runs.jsonl", {"run": run_id, "signature": self.signature(), "stages": {n: r.output for n, r in results.items()}, "sides": {n: r.side for n, r in results.items() if r.side}})
+        append(self.root / "runs.jsonl", {"run": run_id, "signature": self.signature(), "stages": {n: r.output for n, r in results.items()}, "sides": {n: r.side for n, r in results.items() if r.side}, "keys": {n: r.key for n, r in results.items()}} | ({"meta": meta} if meta else {}))
         return results
 
     def rebase(self, root: str | Path) -> Pipeline:

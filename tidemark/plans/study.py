@@ -164,7 +164,7 @@ class CrossSectionBook:
         return []
 
     def headline(self, study: Study, name: str) -> Headline:
-        return Headline(f"eval_{name}", "ls.sharpe", "ls.n", "ls.daily", family="long-short")
+        return Headline(f"eval_{name}", "ls.sharpe", "ls.n", "ls.daily", family="long-short", periods=study.stats.periods)
 
     def power_stage(self, study: Study) -> Stage:
         panels: dict[str, tuple[FeatureSet, ...]] = {}
@@ -211,8 +211,8 @@ class TimeSeriesBook:
 
     def headline(self, study: Study, name: str) -> Headline:
         if self._has_benchmark:
-            return Headline(f"active_{name}", "sharpe", "n", "daily", family=f"active over {self.benchmark}")
-        return Headline(f"eval_{name}", "book.sharpe", "book.n", "book.daily")
+            return Headline(f"active_{name}", "sharpe", "n", "daily", family=f"active over {self.benchmark}", periods=study.stats.periods)
+        return Headline(f"eval_{name}", "book.sharpe", "book.n", "book.daily", periods=study.stats.periods)
 
     def power_stage(self, study: Study) -> Stage:
         return Stage("power", _years_power, ("folds",), study.power)
@@ -245,7 +245,7 @@ class PathBook:
         return []
 
     def headline(self, study: Study, name: str) -> Headline:
-        return path_headline(f"eval_{name}", self.benchmark)
+        return path_headline(f"eval_{name}", self.benchmark, study.stats.periods)
 
     def power_stage(self, study: Study) -> Stage:
         return Stage("power", _years_power, ("folds",), study.power)
@@ -257,8 +257,8 @@ def path_stage(name: str, preds: str, book: PathBook, stats: Stats, entry: str =
     return Stage(name, _evaluate_paths, (book.trades, book.calendar, book.frame, preds), how, side=("trades",))
 
 
-def path_headline(stage: str, benchmark: str = "constant") -> Headline:
-    return Headline(stage, "active.sharpe", "active.n", "active.daily", family=f"gain over {benchmark}")
+def path_headline(stage: str, benchmark: str = "constant", periods: int = 252) -> Headline:
+    return Headline(stage, "active.sharpe", "active.n", "active.daily", family=f"gain over {benchmark}", periods=periods)
 
 
 # the study ------------------------------------------------------------------------------------------------------------
