@@ -182,12 +182,17 @@ def test_shards_refuse_other_keys(spark):
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.fixture(scope="module")
-def both():
+def tiktoken_encoding():
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
-    return bpe.Bpe(ranks), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def both():
+    theirs = tiktoken_encoding()
+    return bpe.Bpe(theirs._mergeable_ranks), theirs
 
 
 PIECES = ["a", "b", " ", "  ", "\n", "é", "1", "'s", "'", "r", "e", "ing", "漢", "🙂", "\t", "x" * 50, "!!", "lé"]
