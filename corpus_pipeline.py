@@ -1,4 +1,10 @@
-"""A corpus through five operators, stage by stage: which documents stay, what of their text, and their token ids."""
+"""A corpus through five operators, stage by stage: which documents stay, what of their text, and their token ids.
+
+A null or empty text has no words and goes with the first stage, as do texts of fewer than fifty; very long texts go through
+whole. Rows that share key and text count as one document for line dedup, and of a class of near-duplicates one row stays,
+whatever ties there are; a null key is the least. Other columns, whatever their names, are handed on until the last stage.
+Empty tables of documents or of the benchmark give an empty result and no hits.
+"""
 
 from __future__ import annotations
 
