@@ -181,6 +181,8 @@ def test_planted_signal_is_found_and_noise_is_not(spark):
     rates = {(r["ic"], r["feature"]): r["rate"] for r in twins.detection_rates(spark, twins.CrossSection(names=60, dates=40), [0.0, 0.2], seeds=6).collect()}
     assert rates[0.2, "signal"] > 0.9 and max(rates[0.2, "noise"], rates[0.0, "signal"], rates[0.0, "noise"]) <= 0.34
     assert len(rates) == 4
+    curve = {r["ic"]: r for r in twins.power_curve(spark, {"small": twins.CrossSection(names=60, dates=40)}, [0.0, 0.3], seeds=4).collect()}
+    assert curve[0.3]["power"] == curve[0.3]["decile_power"] == 1 and max(curve[0.0]["power"], curve[0.0]["decile_power"], curve[0.3]["false_positives"]) <= 0.5
 
 
 def test_config_layers(tmp_path):

@@ -214,9 +214,9 @@ def final_pnl(trades: DataFrame, entry: str = "t0", date: str = "date", pnl: str
     return trades.groupBy(entry).agg(last.alias("y"))
 
 
-def decile_spread(rows: DataFrame, pred: str = "pred", y: str = "y", date: str = "t0", q: float = 0.1) -> DataFrame:
-    """n, mean, t of the per-date difference between the top and the bottom q."""
-    ranked = rows.withColumn("_p", rank_of_rows(pred, date))
+def decile_spread(rows: DataFrame, pred: str = "pred", y: str = "y", date: str = "t0", q: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """by, n, mean, t of the per-date difference between the top and the bottom q."""
+    ranked = rows.withColumn("_p", rank_of_rows(pred, [*by, date]))
     top, low = F.avg(F.when(F.col("_p") >= 1 - q - 1e-12, F.col(y))), F.avg(F.when(F.col("_p") <= q + 1e-12, F.col(y)))
-    days = ranked.groupBy(date).agg((top - low).alias("_d"))
-    return days.agg(F.count("_d").alias("n"), F.avg("_d").alias("mean"), F.try_divide(F.avg("_d") * F.sqrt(F.count("_d")), F.stddev_samp("_d")).alias("t"))
+    days = ranked.groupBy(*by, date).agg((top - low).alias("_d"))
+    return days.groupBy(*by).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean"), F.try_divide(F.avg("_d") * F.sqrt(F.count("_d")), F.stddev_samp("_d")).alias("t"))
