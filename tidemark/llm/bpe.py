@@ -28,6 +28,8 @@ from .common import map_rows
 REMEMBERED, PAIRS = 64 << 20, 300_000
 #: Bytes that Python takes for a remembered piece besides its text and ids.
 ENTRY = 190
+#: Bytes of a piece's head, and heads whose tables a worker remembers at most, of some 200 bytes each.
+HEAD, HEADS = 5, 100_000
 #: Characters of a piece from which on it isn't remembered.
 LONGEST = 200
 #: Above every rank.
@@ -46,16 +48,18 @@ class Bpe:
         self._old: dict[str, bytes] = {}
         self._held = 0
         self._alone: dict[int, bool] = {}
-        #: By the last four, three or two bytes: the lengths of tokens that may end so, longest first. Lengths up to that
-        #: many bytes are there only if such a token is; of longer ones some token with these last bytes has the length.
-        self._ends: tuple[dict[bytes, tuple[int, ...]], ...] = ({}, {}, {})
-        for k, table in zip((4, 3, 2), self._ends, strict=True):
-            for token in ranks:
-                if len(token) >= k:
-                    table.setdefault(token[-k:], set()).add(len(token))
-            for end, lengths in table.items():
-                shorter = (n for n in range(1, k) if end[-n:] in ranks)
-                table[end] = tuple(sorted({*lengths, *shorter}, reverse=True))
+        self._heads: dict[bytes, tuple[int, ...]] = {}
+        #: By the last four bytes, the lengths from four on of tokens that end so; by the last three and two bytes, if they
+        #: are a token, that length. Shorter lengths follow where they are tokens too, so the longest comes first.
+        four: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 3:
+                four.setdefault(token[-4:], set()).add(len(token))
+        short = lambda end: {n for n in range(1, len(end) + 1) if end[-n:] in ranks}
+        ordered = lambda lengths: tuple(sorted(lengths, reverse=True))
+        self._four = {end: ordered(lengths | short(end[-3:])) for end, lengths in four.items()}
+        self._three = {token: ordered(short(token)) for token in ranks if len(token) == 3}
+        self._two = {token: ordered(short(token)) for token in ranks if len(token) == 2}
 
     @classmethod
     def from_file(cls, path: str) -> Bpe:
@@ -123,21 +127,21 @@ class Bpe:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Adds to last, which covers a prefix of piece, the last token of each longer prefix."""
-        ranks, pairs, fits, one = self.ranks, self._pairs, self._fits, (1,)
-        four, three, two = (table.get for table in self._ends)
+        pairs, fits, one = self._pairs.get, self._fits, (1,)
+        four, three, two, of = self._four.get, self._three.get, self._two.get, self.ranks.get
         for end in range(len(last) + 1, len(piece) + 1):
             lengths = (end > 3 and four(piece[end - 4 : end])) or (end > 2 and three(piece[end - 3 : end])) or (end > 1 and two(piece[end - 2 : end])) or one
             for n in lengths:
                 if n < end:
-                    token = ranks.get(piece[end - n : end])
+                    token = of(piece[end - n : end])
                     if token is None:
                         continue
                     before = last[end - n - 1]
-                    ok = pairs.get(before << 32 | token)
+                    ok = pairs(before << 32 | token)
                     if fits(before, token) if ok is None else ok:
                         last.append(token)
                         break
-                elif n == end and (token := ranks.get(piece[:end])) is not None and fits(-1, token):
+                elif n == end and (token := of(piece[:end])) is not None and fits(-1, token):
                     last.append(token)
                     break
             else:
@@ -153,9 +157,21 @@ class Bpe:
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """A piece that is a token as a whole is that token, as in the usual encoders."""
+        """A piece that is a token as a whole is that token, as in the usual encoders.
+
+        Tables of the first HEAD bytes are remembered: a piece that begins like one before it goes on from there.
+        """
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.walk(self.extend(piece, []))
+        if whole is not None:
+            return [whole]
+        if len(piece) <= HEAD:
+            return self.walk(self.extend(piece, []))
+        head = piece[:HEAD]
+        if (table := self._heads.get(head)) is None:
+            if len(self._heads) > HEADS:
+                self._heads.clear()
+            table = self._heads[head] = tuple(self.extend(head, []))
+        return self.walk(self.extend(piece, list(table)))
 
     def encode_packed(self, text: str, split) -> bytes:
         """The ids of a text's pieces as split gives them, as unsigned 32-bit integers of this machine.
