@@ -357,7 +357,7 @@ def deflated_sharpe(spark, d):
     stats.sort(key=lambda r: r["candidate"])
     out = judge.deflated_sharpe([r["sharpe"] for r in stats], min(r["n"] for r in stats), 12)
     row = (stats[out.best]["candidate"], out.trials, out.sharpe, out.expected_by_luck, out.probability, out.probability_above_zero)
-    return spark.createDataFrame([row], "best string, trials int, sharpe double, expected_by_luck double, probability double, probability_above_zero double")
+    return rounded(spark.createDataFrame([row], "best string, trials int, sharpe double, expected_by_luck double, probability double, probability_above_zero double"))
 
 
 def align_series(spark, d):

@@ -163,6 +163,12 @@ def _sharpe(x: str, periods: int = 12) -> str:
     return f"avg({x}) / (stddev_samp({x}) + 1e-12) * sqrt({periods})"
 
 
+def _phi(x: str) -> str:
+    """The normal distribution function by its series around nought: exact to rounding for |x| < 6."""
+    terms = f"list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(abs({x}) + 1e-300) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))"
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum({terms}))"
+
+
 ALIGNED = SERIES + """,
 common as (select date from series group by date having count(distinct candidate) = (select count(distinct candidate) from series)),
 aligned as (select candidate, date, pnl from series join common using (date))"""
@@ -350,6 +356,13 @@ z as (select 'alpha' as term, n, alpha as coef, alpha / (sqrt(v3) * up) as t, ca
 select term, n, {_r('coef', 'coef')}, {_r('t', 't')}, {_r('corr', 'corr')}, {_r('r2', 'r2')} from z""",
     "return_moments": f"""with {SERIES}, d as (select candidate, pnl - avg(pnl) over (partition by candidate) as d from series)
 select candidate, count(*) as n, {_r('avg(d * d * d) / pow(avg(d * d), 1.5)', 'skew')}, {_r('avg(d * d * d * d) / pow(avg(d * d), 2)', 'kurt')} from d group by candidate""",
+    "deflated_sharpe": f"""with recursive {SERIES}, st as (select candidate, count(*) as n, {_sharpe('pnl')} as s from series group by candidate),
+a as (select count(*) as k, min(n) as n, var_samp(s / sqrt(12)) as v, max(s) as top, arg_min(candidate, (-s, candidate)) as best from st),
+it as (select 0 as step, q, p, cast(0 as double) as x from (select 1 as q, 1 - 1 / k as p from a union all select 2, 1 - 1 / (k * exp(1)) from a)
+  union all select step + 1, q, p, x - ({_phi('x')} - p) * sqrt(2 * pi()) * exp(x * x / 2) from it where step < 30),
+l as (select *, case when k > 1 and v > 0 then sqrt(v) * ((1 - 0.5772156649015329) * (select x from it where step = 30 and q = 1) + 0.5772156649015329 * (select x from it where step = 30 and q = 2)) else 0 end as luck, top / sqrt(12) as sr from a),
+z as (select *, (sr - luck) * sqrt(greatest(n - 1, 1)) / sqrt(1 + sr * sr / 2) as x1, sr * sqrt(greatest(n - 1, 1)) / sqrt(1 + sr * sr / 2) as x0 from l)
+select best, cast(k as int) as trials, {_r('top', 'sharpe')}, {_r('luck * sqrt(12)', 'expected_by_luck')}, {_r(_phi('x1'), 'probability')}, {_r(_phi('x0'), 'probability_above_zero')} from z""",
     "align_series": f"""with {SERIES}, s as (select * from series where candidate <> 'ASIA' or month(date) <> 5),
 c as (select date from s group by date having count(distinct candidate) = (select count(distinct candidate) from s)) select candidate, date, pnl from s join c using (date)""",
     "walk_forward_selection": f"""with {_selection("case when y.candidate = 'ASIA' then 0.01 else 0 end")} select year, picked, {_r('past_sharpe', 'past_sharpe')}, {_r('year_sharpe', 'year_sharpe')} from picks""",
