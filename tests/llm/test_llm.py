@@ -159,7 +159,7 @@ def test_whole_texts_as_the_library(tmp_path):
     from tokenizers import Tokenizer
 
     t, r = Tokenizer.from_file(WORDS), random.Random(6)
-    parts = ["a", "B", "'s", "'", "s", "é", "e\u0301", "\u0301", "ſ", "Σ", "İ", "漢", "🙂", "7", "²", "<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", " ", " ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x0b", "\u200d", ".", "!!", "don't"]
+    parts = ["a", "B", "'s", "'", "s", "é", "e\u0301", "\u0301", "ſ", "Σ", "İ", "漢", "🙂", "7", "²", "<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", " ", " ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x0b", "\u200d", ".", "!!", "don't", "abc***", "ÀÉ%%%", "ß", "ÿ", "×", "ªº", "[x]", "a_b", "###"]
     texts = ["", "a <|endoftext|> b", "a<|endoftext|>b", *("".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(3000))]
     run, kind = shards.text_encoder(WORDS)
     assert [np.frombuffer(x, kind).tolist() for x in run(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]

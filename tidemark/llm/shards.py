@@ -223,77 +223,83 @@ def wordwise(config: dict) -> bool:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """The tokenizer, whether it works word by word, which of its tokens end a word, and two generations of remembered words,
-    kept for as long as the worker lives."""
+    """The tokenizer, whether it works word by word, and two generations of remembered words, kept for as long as the worker
+    lives."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         config = json.load(f)
-    tokenizer = Tokenizer.from_file(path)
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    if suffix := config["model"].get("end_of_word_suffix"):
-        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-    return tokenizer, wordwise(config), ends, [{}, {}]
+    return Tokenizer.from_file(path), wordwise(config), [{}, {}]
 
 
-#: A word of letters that stay letters when composed and made small, and perhaps one mark after it: one or two pieces.
-_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
-#: Words that go through the library as one text.
-TOGETHER = 2000
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable characters of Latin-1 stand for themselves, the other bytes for 256 and on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+#: A word of letters that stay letters when composed and made small, and ASCII marks other than the apostrophe after them: a
+#: piece of letters and perhaps one of marks, by WORDWISE's pattern.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_BYTE_LETTERS = _byte_letters()
 
 
 def text_encoder(path: str, memory: int = 700_000):
     """texts -> list of two- or four-byte id strings, as the tokenizers library encodes each whole text with
     add_special_tokens=False: strings of special tokens in a text give their ids.
 
-    Where the tokenizer is shown to work word by word (see wordwise), each distinct word goes through the library once, many
-    simple ones as one text, whose ids are cut where pieces end; at most `memory` words are remembered, some 250 bytes
+    Where the tokenizer is shown to work word by word (see wordwise), each distinct word goes through the library once: the
+    pieces of simple words straight to its model, other words whole. At most `memory` words are remembered, some 250 bytes
     each, and those not asked for again are forgotten first. With any other tokenizer whole texts go through it.
     """
-    tokenizer, by_word, ends, generations = _tokenizer(path)
+    tokenizer, by_word, generations = _tokenizer(path)
     letter = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
     kind = np.dtype("<u2" if letter == "H" else "<u4")
+    pieces, marks = tokenizer.model.tokenize, {"": b""}
 
-    def encoded(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [array(letter, e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, kind).tobytes() for e in found]
+    def packed(ids: list[int]) -> bytes:
+        return array(letter, ids).tobytes() if sys.byteorder == "little" else np.array(ids, kind).tobytes()
 
-    def together(words: list[str], pieces: list[int]) -> list[bytes]:
-        """The ids of words of one or two pieces each, by as few calls as may be."""
-        out = []
-        for at in range(0, len(words), TOGETHER):
-            some, counts = words[at : at + TOGETHER], np.cumsum(pieces[at : at + TOGETHER])
-            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, kind)
-            last = np.flatnonzero(ends[ids])
-            if len(last) != counts[-1]:  # not as shown above: one by one
-                out += encoded(some)
-                continue
-            raw, cuts = ids.tobytes(), [0, *((last[counts - 1] + 1) * kind.itemsize).tolist()]
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
+    def encoded(texts: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def word(w: str) -> bytes:
+        m = _SIMPLE.fullmatch(w)
+        if m is None:
+            return encoded([w])[0]
+        small, after = m[1].lower(), m[2]
+        if not small.isascii():
+            small = small.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if (end := marks.get(after)) is None:
+            if len(marks) > 100_000:
+                marks.clear()
+                marks[""] = b""
+            end = marks[after] = packed([t.id for t in pieces(after)])
+        return packed([t.id for t in pieces(small)]) + end
 
     def run(texts: list[str | None]) -> list[bytes]:
         if not by_word:
             return encoded([t or "" for t in texts])
-        if len(generations[0]) > memory // 2:
-            generations[:] = [{}, generations[0]]
-        known, older = generations
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        rows = [list(map(known.get, ws)) for ws in words]
-        asked = {w for ws, row in zip(words, rows, strict=True) if None in row for w, x in zip(ws, row, strict=True) if x is None}
-        simple, pieces, others = [], [], []
-        for w in asked:
-            if (x := older.get(w)) is not None:
-                known[w] = x
-            elif m := _SIMPLE.fullmatch(w):
-                simple.append(w)
-                pieces.append(2 if m[1] else 1)
-            else:
-                others.append(w)
-        known.update(zip(simple, together(simple, pieces), strict=True))
-        known.update(zip(others, encoded(others), strict=True))
-        return [b"".join([known[w] for w in ws] if None in row else row) for ws, row in zip(words, rows, strict=True)]
+        out = []
+        for t in texts:
+            if len(generations[0]) > memory // 2:
+                generations[:] = [{}, generations[0]]
+            known, older = generations
+            words = (t or "").replace("\n", " ").split(" ")
+            row = list(map(known.get, words))
+            if None in row:
+                for i, x in enumerate(row):
+                    if x is None:
+                        w = words[i]
+                        if (x := known.get(w)) is None:
+                            if (x := older.get(w)) is None:
+                                x = word(w)
+                            known[w] = x
+                        row[i] = x
+            out.append(b"".join(row))
+        return out
 
     return run, kind
 
