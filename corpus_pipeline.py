@@ -36,8 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the digests of ids and decoded bytes, and the ids."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    """doc_id, n_tokens, the digests of ids and decoded bytes, and the ids. Workers share the executors with what the stages
+    before have left there, so they remember less than by themselves."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, remembered=20 << 20)
 
 
 STAGES = [

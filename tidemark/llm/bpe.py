@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: Bytes of pieces that a worker remembers at most, in two generations, and pairs of tokens, of some 130 bytes each.
-REMEMBERED, PAIRS = 64 << 20, 300_000
+#: Bytes of pieces that a worker remembers at most, in two generations; and for how many of these bytes it remembers a
+#: pair of tokens, of some 130 bytes.
+REMEMBERED, PER_PAIR = 64 << 20, 220
 #: Bytes that Python takes for a remembered piece besides its text and ids.
 ENTRY = 190
 #: Bytes of a piece's head, and heads whose tables a worker remembers at most, of some 200 bytes each.
@@ -39,7 +40,8 @@ NEVER = 1 << 60
 class Bpe:
     """ranks: bytes of each token -> its id, lower ids merging first; all single bytes are among them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+        self._most, self._most_pairs = remembered, remembered // PER_PAIR
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._pairs: dict[int, bool] = {}
@@ -62,10 +64,10 @@ class Bpe:
         self._two = {token: ordered(short(token)) for token in ranks if len(token) == 2}
 
     @classmethod
-    def from_file(cls, path: str) -> Bpe:
+    def from_file(cls, path: str, remembered: int = REMEMBERED) -> Bpe:
         """A file of lines: base64 of the token's bytes, a space, its rank."""
         with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, remembered)
 
     def _merged(self, piece: bytes, least: int = 1) -> list[int]:
         """Encoding by its definition: merge the adjacent pair of lowest rank, leftmost first, down to `least` parts.
@@ -120,7 +122,7 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > PAIRS:
+        if len(self._pairs) > self._most_pairs:
             self._pairs.clear()
         self._pairs[before << 32 | token] = ok
         return ok
@@ -179,7 +181,7 @@ class Bpe:
         Pieces are remembered, packed, in two generations: when the young one is full it becomes the old one, and what
         is asked for again comes back from there.
         """
-        if self._held > REMEMBERED // 2:
+        if self._held > self._most // 2:
             self._young, self._old, self._held = {}, self._young, 0
         young, old, pieces = self._young, self._old, split(text)
         found = list(map(young.get, pieces))
@@ -260,9 +262,9 @@ class Encoded:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> Bpe:
+def _loaded(path: str, remembered: int = REMEMBERED) -> Bpe:
     """Kept with what it remembers for as long as the worker lives."""
-    return Bpe.from_file(path)
+    return Bpe.from_file(path, remembered)
 
 
 def encoder(path: str, pattern: str):
@@ -299,15 +301,16 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return map_rows(tokens, [key, ids], make, f"`{key}` {kind}, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256 of each whole text (and its ids): encoded, then decoded from the ids.
 
-    One map over the rows. Without the ids, they leave the worker only as digests.
+    One map over the rows. Without the ids, they leave the worker only as digests. remembered: bytes of pieces that a worker
+    keeps at most; less costs time, not results.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        bpe, split = _loaded(path), regex.compile(pattern).findall
+        bpe, split = _loaded(path, remembered), regex.compile(pattern).findall
         decimal, of = {i: b"%d" % i for i in bpe.bytes_of}, bpe.bytes_of
 
         def run(keys, texts):

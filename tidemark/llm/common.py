@@ -96,7 +96,7 @@ def short_batches(spark: SparkSession, rows: int = 1000):
 
 #: Bytes of an Arrow batch that goes to a Python worker, and of the rows that are worked on at a time, from which on no row
 #: is added; rows of these at most.
-BATCH_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 4 << 20, 1024
+BATCH_BYTES, PART_BYTES, PART_ROWS = 4 << 20, 2 << 20, 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:
