@@ -555,6 +555,52 @@ def test_passages_are_sketched_again(spark, monkeypatch):
     assert calls and [got[i] for i in range(len(texts))] == least
 
 
+def near_in_passages_only(r: random.Random) -> tuple[list[str], list[int]]:
+    """Six passages of 60 words; around each, 40 documents with as many words of their own and three with 10, which are near
+    duplicates that have nothing but the passage in common; classes."""
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts, least = [], []
+    for _ in range(6):
+        passage = [word() for _ in range(60)]
+        for own in [60] * 40 + [10] * 3:
+            least.append(least[-1] if own == 10 and texts and len(texts[-1].split()) == 70 else len(texts))
+            texts.append(" ".join(passage + [word() for _ in range(own)]))
+    return texts, least
+
+
+@pytest.mark.parametrize("met", [False, True])
+def test_near_duplicates_that_meet_only_in_wide_buckets(spark, monkeypatch, met):
+    """Also if no end of a bucket is near any other of its texts, as is likely in large buckets."""
+    texts, least = near_in_passages_only(random.Random(13))
+    star = neardup.star_pairs
+    monkeypatch.setattr(neardup, "CROSS", 0)
+    monkeypatch.setattr(neardup, "STAR", 2, raising=False)
+    if not met:
+        monkeypatch.setattr(neardup, "star_pairs", lambda rooted: star(rooted).filter("a < 0"))
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == least
+
+
+@pytest.mark.parametrize("listed", [0, 5, 40])
+def test_texts_within_the_bound_share_a_rarest_word(listed):
+    r = random.Random(listed)
+    known = np.array(sorted(int(x) for x in neardup.kmers(np.arange(listed, dtype=np.uint64), 1)), np.uint64)
+    times = np.array([r.randrange(1, 100) for _ in known], np.int64)
+    near = 0
+    for _ in range(3000):
+        n = r.randrange(1, 40)
+        a = [r.randrange(50) for _ in range(n)]
+        b = a[:]
+        for _ in range(r.randrange(n // 5 + 2)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = [r.randrange(50)] * r.randrange(2)
+        if levenshtein(a, b) <= max(len(a), len(b)) // 5:
+            near += 1
+            x, y = (neardup.rarest(np.array(ws, np.uint64), known, times, 0.8) for ws in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+    assert near > 500
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 

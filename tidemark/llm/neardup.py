@@ -17,8 +17,10 @@ costs what its size does and not the square of it: first a few buckets' texts ar
 all buckets' components with the ends' components, and last all pairs of a bucket whose texts are still in different
 components. If those pairs are more than CROSS for each text of the bucket (many texts that share a passage and nothing
 else), its texts are sketched again without the k-mers that CROSS of them share, and all pairs of these buckets, which hold
-few texts each, are compared. So no bucket is capped, and every pair that meets elsewhere than only in a shared passage of
-more than CROSS texts is compared or already in one class.
+few texts each, are compared. What is still in different components then is met by its rarest words (see rarest): two texts
+within the bound always share one of them, so this loses no link, and texts in which the passage is the lesser part are not
+compared for its sake. So no bucket is capped, and every pair that meets is compared, already in one class, or beyond the
+bounds.
 
 Null and empty texts are equal: one class. Texts of fewer than k words have one k-mer, all their words. Very long texts
 are sketched in blocks of bounded size; two of n words cost up to n times their bound to align. Repeated rows belong to
@@ -50,6 +52,8 @@ BINS, TILE = 512, 4096
 #: Pairs of different components that a bucket may have for each of its texts to be compared as it is; texts that share a
 #: k-mer from which on it counts as a passage.
 CROSS = 1024
+#: Texts that share a rare word from which on they are first compared with their bucket's ends only.
+STAR = 64
 #: One bucket in so many is looked at in the first round.
 FIRST = 12
 #: Pairs of one text from which on they are dealt to several tasks.
@@ -366,8 +370,82 @@ def without_passages(docs: DataFrame, made: DataFrame, wide: DataFrame, text: st
     return joined(meetings(rows), materialise(wide.select("tid", "root")), ["tid"], "inner")
 
 
-def remaining(docs: DataFrame, made: DataFrame, rooted: DataFrame, text: str, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, within the bounds, of texts of different components that share a bucket; materialised."""
+def rarest(hashes: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """One more of a text's labelled words than it may be edits from a text of its kind or shorter, the rarest first.
+
+    known (sorted) and times tell how often words come; others come less often. Two texts within the bound share all but
+    the bound of the longer one's words, so, whatever the order, the first of the words that they share is among these of
+    both: neither has more words of its own before it than its own bound (n less its limit never falls with n).
+    """
+    grams = kmers(hashes, 1)
+    count = np.zeros(len(grams), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        count = np.where(known[at] == grams, times[at], 0)
+    return grams[np.lexsort((grams, count))[: int(_limit(len(hashes), similarity)) + 1]]
+
+
+def by_rarest(docs: DataFrame, made: DataFrame, wanted: DataFrame, text: str, similarity: float) -> DataFrame:
+    """bucket, tid of the rarest words that several of the wanted texts (tid) share; stored.
+
+    The order is by how many of the wanted texts have a word. Of the words that two have or more, or if those are too many
+    to broadcast four or more, and so on, the counts are known; rarer ones are in the order of their hashes, which any two
+    texts share as well.
+    """
+    spark = docs.sparkSession
+    texts = _texts(docs, made, wanted, text)
+
+    def count():
+        hashes_of = _hasher()
+
+        def run(texts):
+            grams, times = np.unique(np.concatenate([kmers(hashes_of(t), 1) for t in texts]), return_counts=True)
+            return [pa.array(grams.view(np.int64)), pa.array(times)]
+
+        return run
+
+    counted = materialise(map_rows(texts, ["text"], count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"))
+    least = 2
+    while not small(counted.filter(F.col("n") >= least), BROADCAST_ROWS):
+        least *= 2
+    listed = [(r["gram"], r["n"]) for r in counted.filter(F.col("n") >= least).toLocalIterator()]
+    grams, times = np.array([x for x, _ in listed], np.int64).view(np.uint64), np.array([x for _, x in listed], np.int64)
+    order = np.argsort(grams)
+    frequent = spark.sparkContext.broadcast((grams[order], times[order]))
+
+    def rare():
+        hashes_of = _hasher()
+
+        def run(tids, texts):
+            return tids, [rarest(hashes_of(t), *frequent.value, similarity).view(np.int64).tolist() for t in texts]
+
+        return run
+
+    return meetings(stored(map_rows(texts, ["tid", "text"], rare, "tid bigint, buckets array<bigint>"), "rarest"))
+
+
+def among_wide(docs: DataFrame, made: DataFrame, wide: DataFrame, roots: DataFrame, tried: DataFrame, text: str, similarity: float) -> DataFrame:
+    """roots after all links between texts of the buckets wide (bucket, tid); tried: pairs (a, b) compared before."""
+    members = materialise(_rooted(wide, roots))
+    mixed = materialise(members.groupBy("bucket").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("bucket"))
+    wanted = materialise(joined(members, mixed, ["bucket"], "left_semi").select("tid").distinct())
+    if not rows_of(wanted):
+        return roots
+    shared = by_rarest(docs, made, wanted, text, similarity)
+    large = materialise(shared.groupBy("bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > STAR).select("bucket"))
+    if rows_of(large):
+        ends = star_pairs(_rooted(joined(shared, large, ["bucket"], "left_semi"), roots)).join(tried, ["a", "b"], "left_anti")
+        ends = within_bounds(materialise(ends), made, similarity)
+        if rows_of(ends):
+            roots, tried = merged(roots, verified(docs, made, ends, text, similarity)), tried.unionByName(ends)
+    rest = all_pairs(materialise(_rooted(shared, roots)), made, similarity)
+    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
+    return roots if not rows_of(rest) else merged(roots, verified(docs, made, rest, text, similarity))
+
+
+def remaining(docs: DataFrame, made: DataFrame, rooted: DataFrame, text: str, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b), a < b, within the bounds, of texts of different components that share a bucket, and what is left to
+    among_wide: bucket, tid of the wide buckets, if there are any; materialised."""
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("_n"))
     sizes = sizes.groupBy("bucket").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_n")).alias("_q"), F.count("*").alias("_c")).filter("_c > 1")
     mixed = materialise(sizes.select("bucket", ((F.col("_m") * F.col("_m") - F.col("_q")) / 2 > F.col("_m") * CROSS).alias("_wide")))
@@ -375,9 +453,9 @@ def remaining(docs: DataFrame, made: DataFrame, rooted: DataFrame, text: str, si
     pairs = all_pairs(members.filter("not _wide").drop("_wide"), made, similarity)
     wide = materialise(members.filter("_wide").select("tid", "root").distinct())
     if not rows_of(wide):
-        return pairs
+        return pairs, None
     more = all_pairs(without_passages(docs, made, wide, text, similarity), made, similarity)
-    return materialise(pairs.unionByName(more).distinct())
+    return materialise(pairs.unionByName(more).distinct()), members.filter("_wide").select("bucket", "tid")
 
 
 def edit_within(a: Sequence, b: Sequence, limit: int) -> int | None:
@@ -524,9 +602,12 @@ def roots_of(docs: DataFrame, made: DataFrame, text: str = "text", similarity: f
     second = materialise(star_pairs(_rooted(shared, roots)).join(first, ["a", "b"], "left_anti"))
     more = within_bounds(second, made, similarity)
     roots = merged(roots, verified(docs, made, more, text, similarity))
-    rest = remaining(docs, made, _rooted(shared, roots), text, similarity)
-    rest = materialise(rest.join(tried.unionByName(more), ["a", "b"], "left_anti"))
-    return roots if not rows_of(rest) else merged(roots, verified(docs, made, rest, text, similarity))
+    rest, wide = remaining(docs, made, _rooted(shared, roots), text, similarity)
+    tried = tried.unionByName(more)
+    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
+    if rows_of(rest):
+        roots = merged(roots, verified(docs, made, rest, text, similarity))
+    return roots if wide is None else among_wide(docs, made, wide, roots, tried.unionByName(rest), text, similarity)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
