@@ -581,6 +581,37 @@ def test_near_duplicates_that_meet_only_in_wide_buckets(spark, monkeypatch, met)
     assert [got[i] for i in range(len(texts))] == least
 
 
+def rows_joined(df) -> list[int]:
+    """Runs df; the rows that each join of its plan made."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    plan.executeCollect()
+
+    def walk(node):
+        name = node.nodeName()
+        if "Join" in name:
+            out.append(node.metrics().apply("numOutputRows").value())
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        for x in below or [node.children().apply(i) for i in range(node.children().size())]:
+            walk(x)
+
+    walk(plan)
+    return out
+
+
+@pytest.mark.parametrize("own", [2, 256])
+def test_what_goes_with_a_text_is_joined_once(spark, monkeypatch, own):
+    """Texts that share many buckets are joined with their bags once each, and give each pair, however few buckets are known."""
+    monkeypatch.setattr(neardup, "OWN", own, raising=False)
+    monkeypatch.setattr(neardup, "TILE", 4)
+    made = spark.createDataFrame([(i, 20, bytearray(neardup.BINS)) for i in range(10)], "tid bigint, n_words int, bag binary")
+    seen, mapped = [], type(made).mapInArrow
+    members = spark.createDataFrame([(b, i, i // 2) for b in range(30) for i in range(10) if (b + i) % 5], "bucket bigint, tid bigint, root bigint")
+    monkeypatch.setattr(type(made), "mapInArrow", lambda df, *a: seen.append(df) or mapped(df, *a))
+    got = {(x["a"], x["b"]) for x in neardup.all_pairs(members, made, 0.8).collect()}
+    assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if a // 2 != b // 2}
+    assert rows_joined(seen[0]) == [10]
+
+
 @pytest.mark.parametrize("listed", [0, 5, 40])
 def test_texts_within_the_bound_share_a_rarest_word(listed):
     r = random.Random(listed)

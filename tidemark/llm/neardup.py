@@ -58,6 +58,8 @@ STAR = 64
 FIRST = 12
 #: Pairs of one text from which on they are dealt to several tasks.
 HOT = 2000
+#: Buckets of a text that go with it to tell the pairs that come out of another bucket.
+OWN = 256
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -251,7 +253,7 @@ def within_bounds(pairs: DataFrame, made: DataFrame, similarity: float) -> DataF
 
 def _tile(bucket, tids, root, n, chunk, bags, own, similarity):
     """Pairs of different components within the bounds; of different chunks, if there are two; in the least of the buckets
-    that both share only. own: a row's place -> the set of its buckets."""
+    that both share only, if it is known. own: a row's place -> the set of its least buckets."""
     order = np.argsort(n, kind="stable")
     tids, root, n, chunk, bags = tids[order], root[order], n[order], chunk[order], bags[order]
     # n less its limit never falls with n, so the partners of a text within the bound on lengths are a run
@@ -268,7 +270,8 @@ def _tile(bucket, tids, root, n, chunk, bags, own, similarity):
                 mine = None
                 for x in j[_apart(bags[k], bags[j]) <= _limit(n[j], similarity)].tolist():
                     mine = mine or own(int(order[k]))
-                    if min(mine & own(int(order[x]))) == bucket:
+                    # the least shared one is in both sets, or they share none
+                    if min(mine & own(int(order[x])), default=bucket) == bucket:
                         yield int(tids[k]), int(tids[x])
 
 
@@ -277,8 +280,9 @@ def all_pairs(members: DataFrame, made: DataFrame, similarity: float) -> DataFra
     different components; materialised.
 
     A bucket of m > TILE texts is cut into c = ceil(m / TILE) chunks, and each text goes to the c tiles of its chunk with
-    every chunk, so no task holds a bucket whole. Texts carry the list of their buckets here, at most as many as sketches, so
-    that a pair comes out of one bucket only.
+    every chunk, so no task holds a bucket whole. Texts carry the list of their OWN least buckets here, so that a pair comes
+    out of one bucket only, but for texts of more buckets; distinct takes what comes twice. What goes with a text is joined
+    to it once, before it is dealt to its buckets.
     """
 
     def run(batches):
@@ -314,10 +318,12 @@ def all_pairs(members: DataFrame, made: DataFrame, similarity: float) -> DataFra
     chunks = members.groupBy("bucket").agg(F.count("*").alias("_m"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s")
     chunks = materialise(chunks.select("bucket", F.ceil(F.col("_m") / TILE).cast("int").alias("_chunks")))
     members = stored(joined(members, chunks, ["bucket"], "inner"), "compared")
-    own = members.groupBy("tid").agg(F.collect_set("bucket").alias("_own"))
-    members = members.join(made.select("tid", "n_words", "bag"), "tid").join(own, "tid")
-    members = members.withColumn("_chunk", F.pmod(F.xxhash64("tid"), F.col("_chunks")).cast("int"))
-    members = members.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    texts = members.groupBy("tid").agg(F.first("root").alias("root"), F.sort_array(F.collect_set(F.struct("bucket", "_chunks"))).alias("_in"))
+    texts = texts.join(made.select("tid", "n_words", "bag"), "tid")
+    own = F.slice(F.col("_in.bucket"), 1, OWN)
+    place = lambda x: F.pmod(F.xxhash64("tid"), x["_chunks"]).cast("int")
+    tiles = F.flatten(F.transform("_in", lambda x: F.transform(F.sequence(F.lit(0), x["_chunks"] - 1), lambda w: F.struct(x["bucket"].alias("bucket"), place(x).alias("_chunk"), w.alias("_with")))))
+    members = texts.select("tid", "root", "n_words", "bag", own.alias("_own"), F.explode(tiles).alias("_tile")).select("*", "_tile.*")
     members = members.select("bucket", F.least("_chunk", "_with").alias("_lo"), F.greatest("_chunk", "_with").alias("_hi"), "tid", "root", "n_words", "_chunk", "bag", "_own")
     members = members.repartition("bucket", "_lo", "_hi").sortWithinPartitions("bucket", "_lo", "_hi")
     return materialise(members.mapInArrow(run, "a bigint, b bigint").distinct())
