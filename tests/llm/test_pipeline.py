@@ -76,3 +76,20 @@ def test_odd_documents_go_through_the_pipeline(spark, tmp_path):
         assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
         ids = sorted(r["doc_id"] for r in got.collect())
         assert ids == ([7, 20, 21, 23, 25] if k == 0 else [])
+
+
+def test_near_dedup_of_what_meets_only_in_a_passage(spark, monkeypatch):
+    """One of each class stays, though all buckets are wide and no bucket's end is near any other of its texts."""
+    import random
+
+    import corpus_pipeline
+    from tidemark.llm import neardup
+
+    from .test_llm import near_in_passages_only, table
+
+    texts, least = near_in_passages_only(random.Random(14))
+    star = neardup.star_pairs
+    monkeypatch.setattr(neardup, "CROSS", 0)
+    monkeypatch.setattr(neardup, "star_pairs", lambda rooted: star(rooted).filter("a < 0"))
+    kept = corpus_pipeline.near_dedup(spark, table(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least))
