@@ -2,6 +2,7 @@
 tables, extra columns with clashing names."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import random
@@ -612,6 +613,31 @@ def test_what_goes_with_a_text_is_joined_once(spark, monkeypatch, own):
     assert rows_joined(seen[0]) == [10]
 
 
+def test_components_come_to_a_bucket_in_one_row(spark, monkeypatch):
+    """However many texts they have; their ends' components meet every other one, in four pairs of texts at most."""
+    r = random.Random(15)
+    rows = [(b, t, t // 50) for b in range(30) for t in range(400) if t // 50 % 3 == b % 3 and r.random() < 0.9]
+    met, join = [], neardup.joined
+    monkeypatch.setattr(neardup, "joined", lambda *a: met.append(join(*a)) or met[-1])
+    got = [(x["a"], x["b"]) for x in neardup.star_pairs(spark.createDataFrame(rows, "bucket bigint, tid bigint, root bigint")).collect()]
+    roots = collections.Counter((a // 50, b // 50) for a, b in got)
+    assert len(set(got)) == len(got) and all(a < b for a, b in got) and max(roots.values()) <= 4
+    assert set(roots) == {(0, 3), (0, 6), (3, 6), (1, 4), (1, 7), (4, 7), (2, 5)}
+    assert [x.count() for x in met] == [len({(b, root) for b, _, root in rows})]
+
+
+def test_remaining_buckets_are_counted_once(spark, monkeypatch):
+    """Rows of mixed buckets are joined with what their buckets are once, and all pairs of different components come out."""
+    monkeypatch.setattr(neardup, "TILE", 4)
+    made = spark.createDataFrame([(i, 20, bytearray(neardup.BINS)) for i in range(10)], "tid bigint, n_words int, bag binary")
+    rooted = spark.createDataFrame([(b, i, i // 2) for b in range(30) for i in range(10) if (b + i) % 5], "bucket bigint, tid bigint, root bigint")
+    on, join = [], neardup.joined
+    monkeypatch.setattr(neardup, "joined", lambda df, keys, by, *a: on.append(by) or join(df, keys, by, *a))
+    pairs, wide = neardup.remaining(None, made, rooted, "text", 0.8)
+    assert {(x["a"], x["b"]) for x in pairs.collect()} == {(a, b) for a in range(10) for b in range(a + 1, 10) if a // 2 != b // 2}
+    assert wide is None and on.count(["bucket"]) == 1
+
+
 @pytest.mark.parametrize("listed", [0, 5, 40])
 def test_texts_within_the_bound_share_a_rarest_word(listed):
     r = random.Random(listed)

@@ -225,10 +225,13 @@ def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def star_pairs(rooted: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: each bucket's components with the components of its ends, four pairs of texts at most for two
-    components, whatever their sizes."""
-    end = F.struct("root", "tid")
-    ends = rooted.groupBy("bucket").agg(F.min(end).alias("_a"), F.max(end).alias("_b")).filter("_a.root <> _b.root")
-    met = joined(rooted, materialise(ends), ["bucket"], "inner").select("tid", "root", F.explode(F.array("_a", "_b")).alias("_e")).filter("root <> _e.root")
+    components, whatever their sizes. A component comes to its bucket with four of its texts at most, in one row."""
+    mark = F.xxhash64("tid")
+    some = F.array_distinct(F.array(F.min("tid"), F.max("tid"), F.min_by("tid", mark), F.max_by("tid", mark)))
+    parts = materialise(rooted.groupBy("bucket", "root").agg(some.alias("_some")))
+    ends = parts.groupBy("bucket").agg(F.min(F.struct("root", F.array_min("_some").alias("tid"))).alias("_a"), F.max(F.struct("root", F.array_max("_some").alias("tid"))).alias("_b")).filter("_a.root <> _b.root")
+    met = joined(parts, materialise(ends), ["bucket"], "inner").select("_some", "root", F.explode(F.array("_a", "_b")).alias("_e")).filter("root <> _e.root")
+    met = met.select("root", "_e", F.explode("_some").alias("tid"))
     pair = F.struct(F.least("tid", "_e.tid").alias("a"), F.greatest("tid", "_e.tid").alias("b"))
     met = met.select(F.least("root", "_e.root").alias("_x"), F.greatest("root", "_e.root").alias("_y"), pair.alias("_p"))
     mark = F.xxhash64("_p")
@@ -275,6 +278,10 @@ def _tile(bucket, tids, root, n, chunk, bags, own, similarity):
                         yield int(tids[k]), int(tids[x])
 
 
+def _chunks(size: str) -> Column:
+    return F.ceil(F.col(size) / TILE).cast("int").alias("_chunks")
+
+
 def all_pairs(members: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a < b, within the bounds, of texts that share a bucket of members (bucket, tid, root) and lie in
     different components; materialised.
@@ -282,7 +289,8 @@ def all_pairs(members: DataFrame, made: DataFrame, similarity: float) -> DataFra
     A bucket of m > TILE texts is cut into c = ceil(m / TILE) chunks, and each text goes to the c tiles of its chunk with
     every chunk, so no task holds a bucket whole. Texts carry the list of their OWN least buckets here, so that a pair comes
     out of one bucket only, but for texts of more buckets; distinct takes what comes twice. What goes with a text is joined
-    to it once, before it is dealt to its buckets.
+    to it once, before it is dealt to its buckets. Members whose buckets are counted already, and are of several components,
+    have _chunks.
     """
 
     def run(batches):
@@ -315,9 +323,10 @@ def all_pairs(members: DataFrame, made: DataFrame, similarity: float) -> DataFra
             yield pairs(held)
         give_back()
 
-    chunks = members.groupBy("bucket").agg(F.count("*").alias("_m"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s")
-    chunks = materialise(chunks.select("bucket", F.ceil(F.col("_m") / TILE).cast("int").alias("_chunks")))
-    members = stored(joined(members, chunks, ["bucket"], "inner"), "compared")
+    if "_chunks" not in members.columns:
+        chunks = members.groupBy("bucket").agg(F.count("*").alias("_m"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s")
+        chunks = materialise(chunks.select("bucket", _chunks("_m")))
+        members = stored(joined(members, chunks, ["bucket"], "inner"), "compared")
     texts = members.groupBy("tid").agg(F.first("root").alias("root"), F.sort_array(F.collect_set(F.struct("bucket", "_chunks"))).alias("_in"))
     texts = texts.join(made.select("tid", "n_words", "bag"), "tid")
     own = F.slice(F.col("_in.bucket"), 1, OWN)
@@ -454,8 +463,8 @@ def remaining(docs: DataFrame, made: DataFrame, rooted: DataFrame, text: str, si
     among_wide: bucket, tid of the wide buckets, if there are any; materialised."""
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("_n"))
     sizes = sizes.groupBy("bucket").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_n")).alias("_q"), F.count("*").alias("_c")).filter("_c > 1")
-    mixed = materialise(sizes.select("bucket", ((F.col("_m") * F.col("_m") - F.col("_q")) / 2 > F.col("_m") * CROSS).alias("_wide")))
-    members = stored(joined(rooted, mixed, ["bucket"], "inner").select("bucket", "tid", "root", "_wide"), "mixed")
+    mixed = materialise(sizes.select("bucket", _chunks("_m"), ((F.col("_m") * F.col("_m") - F.col("_q")) / 2 > F.col("_m") * CROSS).alias("_wide")))
+    members = stored(joined(rooted, mixed, ["bucket"], "inner").select("bucket", "tid", "root", "_chunks", "_wide"), "mixed")
     pairs = all_pairs(members.filter("not _wide").drop("_wide"), made, similarity)
     wide = materialise(members.filter("_wide").select("tid", "root").distinct())
     if not rows_of(wide):
