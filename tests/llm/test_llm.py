@@ -613,6 +613,52 @@ def test_what_goes_with_a_text_is_joined_once(spark, monkeypatch, own):
     assert rows_joined(seen[0]) == [10]
 
 
+@pytest.mark.parametrize(("own", "tile"), [(1, 2), (3, 5)])
+def test_all_pairs_are_those_of_brute_force(spark, monkeypatch, own, tile):
+    """Neither the buckets that go with a text nor the tiles of a bucket take a pair away: lengths, bags and components do."""
+    monkeypatch.setattr(neardup, "OWN", own)
+    monkeypatch.setattr(neardup, "TILE", tile)
+    r = random.Random(own)
+    hashes = [np.array([r.randrange(30) for _ in range(r.randrange(20, 30))], np.uint64) for _ in range(60)]
+    hashes += [np.concatenate([h[:-2], np.array([r.randrange(30)], np.uint64)]) for h in hashes[:40]]
+    made = [(i, len(h), bytearray(neardup.bag(h))) for i, h in enumerate(hashes)]
+    inside = [set(r.sample(range(25), r.randrange(1, 12))) for _ in hashes]
+    root = [r.randrange(i + 1) if r.random() < 0.3 else i for i in range(len(hashes))]
+    rows = [(b, i, root[i]) for i, bs in enumerate(inside) for b in bs]
+    got = neardup.all_pairs(spark.createDataFrame(rows, "bucket bigint, tid bigint, root bigint"), spark.createDataFrame(made, "tid bigint, n_words int, bag binary"), 0.8)
+    want = set()
+    for a, b in itertools.combinations(range(len(hashes)), 2):
+        x, y = (collections.Counter(hashes[i].tolist()) for i in (a, b))
+        longer, shorter = max(len(hashes[a]), len(hashes[b])), min(len(hashes[a]), len(hashes[b]))
+        limit = longer // 5
+        if inside[a] & inside[b] and root[a] != root[b] and longer - shorter <= limit and max(sum((x - y).values()), sum((y - x).values())) <= limit:
+            want.add((a, b))
+    assert len(want) > 20 and sorted((p["a"], p["b"]) for p in got.collect()) == sorted(want)
+
+
+def test_no_bound_loses_a_link(spark, monkeypatch):
+    """With every bound at its least and no help from buckets' ends: what meets in a bucket and is near is in one class, and
+    nothing is that isn't near."""
+    star = neardup.star_pairs
+    monkeypatch.setattr(neardup, "star_pairs", lambda rooted: star(rooted).filter("a < 0"))
+    for name, least in {"CROSS": 0, "STAR": 2, "OWN": 1, "TILE": 3, "HOT": 3}.items():
+        monkeypatch.setattr(neardup, name, least)
+    r = random.Random(16)
+    texts = near_in_passages_only(r)[0][:90] + hot_texts(r)[0][90:]
+    words = [t.split() for t in texts]
+    ids = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+    met = [set(neardup.buckets_of(np.array([neardup.xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64))) for ws in words]
+    near = [p for p in itertools.combinations(range(len(texts)), 2) if neardup.edit_within(*([ids[w] for w in words[i]] for i in p), max(len(words[i]) for i in p) // 5) is not None]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(table(spark, texts)).collect()}
+    together = [(a, b) for a, b in near if met[a] & met[b]]
+    assert len(together) >= 10 and all(got[a] == got[b] for a, b in together)
+    root = list(range(len(texts)))
+    for a, b in near:
+        x, y = sorted((root[a], root[b]))
+        root = [x if k == y else k for k in root]
+    assert all(root[a] == root[b] for a, b in got.items())
+
+
 def test_components_come_to_a_bucket_in_one_row(spark, monkeypatch):
     """However many texts they have; their ends' components meet every other one, in four pairs of texts at most."""
     r = random.Random(15)
